@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, quality, sharding
+from . import lines, minhash, mixing, quality, sharding, substring
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, size=3, percent=85, bands=20, rows=5)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     got = lines.strip_lines(docs)
@@ -25,12 +30,17 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "source", "copy", "shuffle_key")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op5_line_dedup, op7_mix_sources, op10_shard_balance)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_minhash_dedup, op5_line_dedup, op7_mix_sources, op8_substring_dedup, op10_shard_balance)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -82,9 +92,36 @@ mixed AS (SELECT d.*, unnest(range(1, n_copies + 1))::INT AS copy FROM (
 """
 
 
+def near_sql(docs: str, size: int, percent: int) -> str:
+    """CTEs up to ``near``: doc_id, n_shingles, component_id."""
+    return rf"""
+nw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM {docs}),
+ns AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i + {size} - 1], ' '))) END AS s FROM nw),
+nx AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM ns),
+np AS (SELECT a.doc_id AS a, b.doc_id AS b FROM nx a JOIN nx b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+ne AS (SELECT a, b FROM np UNION ALL SELECT b, a FROM np),
+nr(u, v) AS (SELECT doc_id, doc_id FROM ns UNION SELECT nr.u, ne.b FROM nr JOIN ne ON nr.v = ne.a),
+near AS (SELECT ns.doc_id, len(s)::BIGINT AS n_shingles, c.component_id FROM ns JOIN (SELECT u, min(v) AS component_id FROM nr GROUP BY u) c ON ns.doc_id = c.u)
+"""
+
+
+SUBSTRING_SQL = rf"""
+WITH b AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM b, unnest(range(1, len(w) - 48)) AS r(i)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS lo FROM win) WHERE doc_id > lo),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS p FROM late, unnest(range(0, 50)) AS r(k) GROUP BY doc_id),
+kept AS (SELECT b.doc_id, len(w) AS n, coalesce(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT coalesce(list_contains(p, i), false)), lambda i: w[i]), []) AS k FROM b LEFT JOIN gone ON b.doc_id = gone.doc_id)
+SELECT doc_id, n::BIGINT AS n_words, (n - len(k))::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": f"WITH {MEASURES_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ruled",
+        "op4_minhash_dedup": f"WITH RECURSIVE {near_sql('documents', 3, 85)} SELECT *, doc_id = component_id AS kept FROM near",
         "op5_line_dedup": f"WITH docs_in AS (SELECT * FROM documents), {LINES_SQL} SELECT doc_id, source, n_lines, n_removed, md5(text) AS kept_md5 FROM stripped",
+        "op8_substring_dedup": SUBSTRING_SQL,
         "op7_mix_sources": f"WITH {mix_sql('documents')} SELECT doc_id, source, copy, {uniform_sql(12, 'doc_id', 'copy')} AS shuffle_key FROM mixed",
     }
