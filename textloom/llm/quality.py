@@ -95,15 +95,17 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def measured_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 17) -> list[Rule]:
+def measured_order(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 2000, seed: int = 17) -> list[Rule]:
     """``rules`` by rejections per second on at most about ``sample_rows`` rows, best first.
 
-    One timed aggregate for each rule over the sample; a rule that rejects nothing goes last.
+    The sample is drawn before anything is measured. One timed aggregate for each rule over
+    it; a rule that rejects nothing goes last.
     """
     n = docs.count()
     if not n:
         return rules
-    sample = (docs if n <= sample_rows else docs.sample(fraction=sample_rows / n, seed=seed)).persist()
+    drawn = docs if n <= sample_rows else docs.sample(fraction=sample_rows / n, seed=seed)
+    sample = base_measures(drawn.select(text), text).persist()
     try:
         sample.count()
         worth = []
@@ -128,7 +130,7 @@ def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None,
     """``docs`` with the base measures, base_failed and kept; the base rule comes before the others."""
     rules = default_rules(text) if rules is None else rules
     got = base_measures(docs, text).withColumn("base_failed", base_failed())
-    order = measured_order(base_measures(docs.select(text), text), rules, sample_rows)
+    order = measured_order(docs.select(text), rules, text, sample_rows)
     return got.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(order).isNull()))
 
 
