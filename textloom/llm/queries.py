@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, mixing, quality, sharding, substring
+from . import lines, minhash, mixing, pieces, quality, sharding, substring
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "source", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), only=["doc_id"])
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix_sources(docs).select("doc_id", "source", "copy", "shuffle_key")
@@ -40,7 +45,7 @@ def op10_shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op4_minhash_dedup, op5_line_dedup, op7_mix_sources, op8_substring_dedup, op10_shard_balance)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_minhash_dedup, op5_line_dedup, op6_sentencepiece, op7_mix_sources, op8_substring_dedup, op10_shard_balance)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
