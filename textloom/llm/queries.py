@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, mixing, pieces, quality, sharding, substring
+from . import lines, minhash, mixing, pieces, quality, sharding, substring, toxicity
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs, size=3, percent=85, bands=20, rows=5)
@@ -45,7 +50,7 @@ def op10_shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op4_minhash_dedup, op5_line_dedup, op6_sentencepiece, op7_mix_sources, op8_substring_dedup, op10_shard_balance)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_minhash_dedup, op5_line_dedup, op6_sentencepiece, op7_mix_sources, op8_substring_dedup, op10_shard_balance)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"

@@ -1,12 +1,13 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
 Documents with equal texts are linked (each to its group, a hub, never to each other).
-Linked documents start on shards dealt by hash and then move, round by round, to the shard
-where most bytes of their group lie, as far as that shard's quota goes: movers are taken in
-hash order up to the quota, by a histogram of the movers' hashes, never by sorting a shard
-in one task. A group larger than a shard thus fills one shard and spills into others. At
-last the free documents, which cut no edge wherever they lie, fill the shards up to equal
-bytes: laid on a line in hash order, the line is cut where each shard's remaining room ends.
+Linked documents start on shards dealt by hash. The linked rows of one group and one
+starting shard are a cell; cells move, round by round, to the shard with room where most
+bytes of their group lie, as far as that shard's quota goes: askers are admitted in hash
+order up to the room, by a histogram of their hashes, never by sorting a shard in one task.
+A group larger than a shard thus fills one shard and spills into others. At last the free
+documents, which cut no edge wherever they lie, fill the shards up to equal bytes: laid on a
+line in hash order, the line is cut where each shard's remaining room ends.
 
 Law kept: ``bytes`` (shard sizes near equal, apart by about a document).
 
@@ -24,53 +25,71 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Hash bins for quotas, cumulated sizes and slots: tables of this many rows a shard at most are broadcast.
-BINS = 1024
+#: Hash bins of a shard's askers, of the free documents' line, and of a shard's slots. The
+#: driver and broadcasts see at most shards * ASK_BINS, LINE_BINS and shards * SLOT_BINS sums.
+ASK_BINS = 64
+LINE_BINS = 4096
 SLOT_BINS = 64
+#: A shard counts as open while it has this part of its capacity left.
+OPEN = 0.01
 
 
-def _bin(key: Column, n: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n)).cast("int")
+def _bin(n: int, seed: int, *key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(n)).cast("int")
 
 
-def _line(df: DataFrame, size: str, key: str) -> DataFrame:
-    """``df`` with __b and __at: the bytes that lie before the row in the order of (__b, key), over all rows.
-
-    Two levels: sums of BINS * 4 bins, cumulated in one small table, and sums inside a bin.
-    """
-    n = 4 * BINS
-    got = df.withColumn("__b", _bin(F.col(key), n, 3))
-    tops = got.groupBy("__b").agg(F.sum(size).alias("__bs"))
-    before = tops.withColumn("__before", F.sum("__bs").over(W.orderBy("__b")) - F.col("__bs")).select("__b", "__before")
-    own = W.partitionBy("__b").orderBy(key, size).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return got.join(F.broadcast(before), "__b").withColumn("__at", F.col("__before") + F.sum(size).over(own) - F.col(size))
+def _choose(of: Column, values: dict[int, float], default) -> Column:
+    """A small lookup (one entry a shard) as an expression."""
+    if not values:
+        return F.lit(default)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv]), of), F.lit(default))
 
 
-def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int) -> DataFrame:
-    """linked: __k (row key), __g (group), __n (bytes), __s (shard). Returns it with better __s.
+def propagate(cells: DataFrame, shards: int, capacity: float, rounds: int) -> DataFrame:
+    """cells: g, s0 (starting shard), n (bytes). Returns (g, s0, s) with the shard after the last round.
 
-    A round: each group's bytes by shard are its votes; a row asks for the shard with most
-    votes among those with room, if it has more votes than the row's own; the shard admits
-    the askers whose hash bins fit into its room. No shard is ever filled beyond capacity.
+    No shard is filled beyond its capacity by a move.
     """
-    now = linked
+    now = cut(cells.select("g", "s0", "n", F.col("s0").alias("s")))
+    load = {x["s"]: float(x["n"]) for x in now.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    group = W.partitionBy("g")
     for r in range(rounds):
-        votes = now.groupBy("__g", "__s").agg(F.sum("__n").alias("m"))
-        load = now.groupBy("__s").agg(F.sum("__n").alias("load"))
-        room = linked.sparkSession.range(shards).select(F.col("id").cast("int").alias("__s")).join(load, "__s", "left").select("__s", (F.lit(float(capacity)) - F.coalesce("load", F.lit(0))).alias("room"))
-        room = F.broadcast(room)  # one row a shard
-        rank = F.struct("m", F.xxhash64("__g", "__s").alias("tie"))
-        votes = votes.withColumn("rank", rank)
-        want = votes.join(room, "__s").where("room > 0.01 * %r" % float(capacity)).groupBy("__g").agg(F.max(F.struct("rank", "__s")).alias("top")).select("__g", F.col("top.rank").alias("__top"), F.col("top.__s").alias("__to"))
-        own = now.join(votes.select("__g", "__s", F.col("rank").alias("__own")), ["__g", "__s"]).join(want, "__g", "left")
-        asked = cut(own.select("__k", "__g", "__n", "__s", "__to", F.when(F.col("__top") > F.col("__own"), _bin(F.col("__k"), BINS, 100 + r)).alias("__q")))
-        bins = asked.where("__q is not null").groupBy("__to", "__q").agg(F.sum("__n").alias("m"))  # shards * BINS rows at most
-        if not bins.limit(1).count():
-            return now
-        fill = bins.withColumn("cum", F.sum("m").over(W.partitionBy("__to").orderBy("__q")))
-        fits = fill.join(room, fill["__to"] == F.col("__s")).where("cum <= room").groupBy("__to").agg(F.max("__q").alias("__last"))
-        now = cut(asked.join(F.broadcast(fits), "__to", "left").select("__k", "__g", "__n", F.when(F.col("__q") <= F.col("__last"), F.col("__to")).otherwise(F.col("__s")).alias("__s")))
-    return now
+        room = {s: capacity - load.get(s, 0.0) for s in range(shards)}
+        has_room = [s for s, x in room.items() if x > OPEN * capacity]
+        votes = F.struct(F.sum("n").over(W.partitionBy("g", "s")).alias("m"), F.xxhash64("g", "s").alias("tie"), F.col("s").alias("to"))
+        rated = now.repartition("g").withColumn("own", votes)
+        top = F.max(F.when(F.col("s").isin(has_room), F.col("own"))).over(group)
+        asked = rated.withColumn("top", top)
+        asks = F.coalesce((F.col("top.to") != F.col("s")) & (F.col("top") > F.col("own")), F.lit(False))
+        asked = cut(asked.select("g", "s0", "n", "s", F.when(asks, F.col("top.to")).alias("to"), F.when(asks, _bin(ASK_BINS, 100 + r, "g", "s0")).alias("q")))
+        sums = asked.where("to is not null").groupBy("to", "q").agg(F.sum("n").alias("n")).collect()
+        if not sums:
+            return now.select("g", "s0", "s")
+        last: dict[int, int] = {}
+        filled = dict.fromkeys(range(shards), 0.0)
+        closed = set()
+        for x in sorted(sums, key=lambda x: (x["to"], x["q"])):
+            if x["to"] not in closed and filled[x["to"]] + x["n"] <= room[x["to"]]:
+                filled[x["to"]] += x["n"]
+                last[x["to"]] = x["q"]
+            else:
+                closed.add(x["to"])
+        moves = F.col("q") <= _choose(F.col("to"), last, -1)
+        now = asked.select("g", "s0", "n", F.when(moves, F.col("to")).otherwise(F.col("s")).alias("s"))
+        load = {x["s"]: float(x["n"]) for x in now.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    return now.select("g", "s0", "s")
+
+
+def _line(df: DataFrame, size: str, *key: str) -> DataFrame:
+    """``df`` with ``at``: the bytes before the row in the order of (hash bin, key), over all rows.
+
+    Two levels: sums of the bins, cumulated in one small table, and sums inside a bin.
+    """
+    got = df.withColumn("bin", _bin(LINE_BINS, 3, *key))
+    tops = got.groupBy("bin").agg(F.sum(size).alias("whole"))
+    before = tops.select("bin", (F.sum("whole").over(W.orderBy("bin")) - F.col("whole")).alias("before"))
+    own = W.partitionBy("bin").orderBy(*key).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return got.join(F.broadcast(before), "bin").withColumn("at", F.col("before") + F.sum(size).over(own) - F.col(size)).drop("bin", "before")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", rounds: int = 6) -> DataFrame:
@@ -80,38 +99,34 @@ def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", t
         F.col(doc_id).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(raw), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(raw, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.when(raw.isNotNull() & (raw != ""), F.md5(raw.cast("binary"))).alias("__g"),
-    ).withColumn("__u", F.monotonically_increasing_id())
+        F.when(raw != "", F.md5(raw.cast("binary"))).alias("g"),
+        F.monotonically_increasing_id().alias("u"),
+    )
     rows = cut(rows)
-    hubs = rows.where("__g is not null").groupBy("__g").agg(F.count("*").alias("group_rows")).where("group_rows > 1")
-    rows = cut(rows.join(hubs, "__g", "left"))
+    hubs = rows.where("g is not null").groupBy("g").agg(F.count("*").alias("group_rows")).where("group_rows > 1")
+    rows = cut(rows.join(hubs, "g", "left").withColumn("s0", F.when(F.col("group_rows").isNotNull(), _bin(shards, 1, "doc_id", "u"))))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     capacity = total / shards
-    key = F.struct("doc_id", "text_crc32", "__u")
-    linked = rows.where("group_rows is not null").select(key.alias("__k"), "__g", F.col("size").alias("__n"), _bin(key, shards, 1).alias("__s"))
-    placed = propagate(cut(linked), shards, capacity, rounds)
-    load = placed.groupBy("__s").agg(F.sum("__n").alias("load"))
-    room = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("__s")).join(load, "__s", "left")
-    room = room.select("__s", F.greatest(F.lit(0.0), F.lit(float(capacity)) - F.coalesce("load", F.lit(0))).alias("room"))
-    room = room.withColumn("to", F.sum("room").over(W.orderBy("__s"))).withColumn("from", F.col("to") - F.col("room"))
-    ends = [(x["__s"], float(x["to"])) for x in room.where("room > 0").orderBy("__s").collect()]  # one row a shard
-    free = rows.where("group_rows is null").select(key.alias("__k"), F.col("size").alias("__n"))
-    line = _line(free, "__n", "__k")
-    spot = line.withColumn("__mid", F.col("__at") + F.col("__n") / 2)
-    where = F.lit(ends[-1][0] if ends else 0)
-    cuts = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(s).alias("s")) for s, e in ends]) if ends else None
-    if cuts is not None:
-        where = F.coalesce(F.get(F.filter(cuts, lambda c: c["e"] > F.col("__mid")), F.lit(0))["s"], where)
-    spread = spot.select("__k", where.alias("__s"))
-    both = placed.select("__k", "__s").unionByName(spread)
-    got = rows.select(key.alias("__k"), "doc_id", "size", "text_crc32", "group_rows").join(both, "__k").withColumnRenamed("__s", "shard")
-    return slots(cut(got)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.coalesce("group_rows", F.lit(1)).cast("long").alias("group_rows"))
+    linked = rows.where("s0 is not null")
+    placed = linked.join(propagate(linked.groupBy("g", "s0").agg(F.sum("size").alias("n")), shards, capacity, rounds), ["g", "s0"])
+    placed = cut(placed.select("doc_id", "u", "size", "text_crc32", "group_rows", F.col("s").alias("shard")))
+    load = {x["shard"]: float(x["n"]) for x in placed.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    ends, end = [], 0.0
+    for s in range(shards):
+        end += max(0.0, capacity - load.get(s, 0.0))
+        ends.append((end, s))
+    cuts = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(s).alias("s")) for e, s in ends])
+    middle = F.col("at") + F.col("size") / 2
+    spot = F.coalesce(F.get(F.filter(cuts, lambda c: c["e"] > middle), F.lit(0))["s"], F.lit(shards - 1))
+    spread = _line(rows.where("s0 is null"), "size", "doc_id", "u").select("doc_id", "u", "size", "text_crc32", "group_rows", spot.alias("shard"))
+    got = slots(cut(placed.unionByName(spread)))
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.coalesce("group_rows", F.lit(1)).cast("long").alias("group_rows"))
 
 
 def slots(df: DataFrame) -> DataFrame:
     """Numbers the rows of each shard from 0 without gaps: offsets of hash bins, then ranks inside a bin."""
-    got = df.withColumn("__b", _bin(F.col("__k"), SLOT_BINS, 9))
-    n = got.groupBy("shard", "__b").agg(F.count("*").alias("__c"))
-    off = n.withColumn("__off", F.sum("__c").over(W.partitionBy("shard").orderBy("__b")) - F.col("__c")).select("shard", "__b", "__off")
-    rank = F.row_number().over(W.partitionBy("shard", "__b").orderBy("__k"))
-    return got.withColumn("__r", rank).join(F.broadcast(off), ["shard", "__b"]).withColumn("slot", (F.col("__off") + F.col("__r") - 1).cast("long"))
+    got = df.withColumn("bin", _bin(SLOT_BINS, 9, "doc_id", "u"))
+    n = got.groupBy("shard", "bin").agg(F.count("*").alias("c"))
+    off = n.select("shard", "bin", (F.sum("c").over(W.partitionBy("shard").orderBy("bin")) - F.col("c")).alias("off"))
+    rank = F.row_number().over(W.partitionBy("shard", "bin").orderBy("doc_id", "u"))
+    return got.withColumn("r", rank).join(F.broadcast(off), ["shard", "bin"]).withColumn("slot", (F.col("off") + F.col("r") - 1).cast("long"))
