@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, mixing, pieces, quality, sharding, substring, toxicity
+from . import hnsw, html, lines, minhash, mixing, pieces, quality, sharding, substring, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs, size=3, percent=85, bands=20, rows=5)
@@ -45,12 +49,22 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_minhash_dedup, op5_line_dedup, op6_sentencepiece, op7_mix_sources, op8_substring_dedup, op10_shard_balance)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_embedding_dedup, op4_minhash_dedup, op5_line_dedup, op6_sentencepiece, op7_mix_sources, op8_substring_dedup, op9_html_extraction, op10_shard_balance)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -127,9 +141,21 @@ SELECT doc_id, n::BIGINT AS n_words, (n - len(k))::BIGINT AS n_removed, sha256(a
 """
 
 
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r(u, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, p.b FROM r JOIN p ON r.w = p.a),
+c AS (SELECT u, min(w) AS component_id FROM r GROUP BY u),
+l AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON u = vec_id LEFT JOIN l ON a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": f"WITH {MEASURES_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ruled",
+        "op3_embedding_dedup": VECTORS_SQL,
         "op4_minhash_dedup": f"WITH RECURSIVE {near_sql('documents', 3, 85)} SELECT *, doc_id = component_id AS kept FROM near",
         "op5_line_dedup": f"WITH docs_in AS (SELECT * FROM documents), {LINES_SQL} SELECT doc_id, source, n_lines, n_removed, md5(text) AS kept_md5 FROM stripped",
         "op8_substring_dedup": SUBSTRING_SQL,
