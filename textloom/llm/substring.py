@@ -6,8 +6,9 @@ super-k-mer. Equal windows have equal minimisers, so a minimiser that only one t
 cannot belong to a repeated window: such super-k-mers need not travel. All others are
 packed as one string of words and sent to the bucket of their minimiser, where the windows
 are sorted by their words and each sequence gets its smallest document. A minimiser shared
-by more than ``hot`` texts would make a bucket too large for a task; its super-k-mers are
-cut into windows, dealt by a 128-bit hash of the window and reduced on the map side.
+by more than ``hot`` texts would make a bucket too large for a task; of its super-k-mers each
+distinct string (told by a 128-bit hash) is kept once with its smallest document, cut into
+windows, and these are dealt by a 128-bit hash and reduced on the map side.
 
 Equal texts are told by a 128-bit hash beforehand: all but the first lose every covered
 word, and only the first one's windows are looked at.
@@ -83,9 +84,9 @@ def _marks(docs: DataFrame, width: int, mer: int) -> DataFrame:
 
 
 def _sent(docs: DataFrame, width: int, mer: int) -> DataFrame:
-    """docs: doc_id, text, shared (array of minimisers), hot (those dealt by window).
+    """docs: doc_id, text, shared (array of minimisers), hot (those whose buckets are split).
 
-    (doc_id, m, at, words) of super-k-mers; for hot ones a row for each window: (doc_id, m, at, w1, w2).
+    Super-k-mers (doc_id, m, at, n windows, words, k): k is a 128-bit hash of the words where m is hot, else null.
     """
 
     def run(batches):
@@ -93,9 +94,8 @@ def _sent(docs: DataFrame, width: int, mer: int) -> DataFrame:
             ids, texts = b.column("doc_id").to_numpy(zero_copy_only=False), text_bytes(b.column("text"))
             shared, hot = b.column("shared"), b.column("hot")
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for w, i, h, d, m, at, n in super_kmers(texts, width, mer):
+            for w, i, _, d, m, at, n in super_kmers(texts, width, mer):
                 raw = w.buf.tobytes()
-                r1 = r2 = None
                 done = -1
                 for k in range(len(d)):
                     if d[k] != done:
@@ -105,30 +105,31 @@ def _sent(docs: DataFrame, width: int, mer: int) -> DataFrame:
                     x = int(m[k])
                     if x not in own:
                         continue
-                    first = int(w.first[d[k]])
                     a, c = int(at[k]), int(n[k])
-                    if x in burning:
-                        if r1 is None:
-                            r1, _ = rolling(h, np.zeros(len(h), np.int8), width, "a")
-                            r2, _ = rolling(w.hashes("b"), np.zeros(len(h), np.int8), width, "b")
-                        out[0].extend([ids[i + int(done)]] * c)
-                        out[1].extend([x] * c)
-                        out[2].extend(range(a - first, a - first + c))
-                        out[3].extend([None] * c)
-                        out[4].extend(r1[a : a + c].view(np.int64).tolist())
-                        out[5].extend(r2[a : a + c].view(np.int64).tolist())
-                    else:
-                        p, q = int(w.start[a]), int(w.end[a + c + width - 2])
-                        out[0].append(ids[i + int(done)])
-                        out[1].append(x)
-                        out[2].append(a - first)
-                        out[3].append(b" ".join(raw[p:q].split()))
-                        out[4].append(None)
-                        out[5].append(None)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "m", "at", "words", "w1", "w2"])
-
-    return docs.mapInArrow(run, "doc_id long, m long, at int, words binary, w1 long, w2 long")
+                    words = b" ".join(raw[int(w.start[a]) : int(w.end[a + c + width - 2])].split())
+                    for to, v in zip(out, (ids[i + int(done)], x, a - int(w.first[d[k]]), c, words, hashlib.blake2b(words, digest_size=16).digest() if x in burning else None), strict=True):
+                        to.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "m", "at", "n", "words", "k"])
+
+    return docs.mapInArrow(run, "doc_id long, m long, at int, n int, words binary, k binary")
+
+
+def _windows(contents: DataFrame, width: int) -> DataFrame:
+    """contents: k, lo, words. A row for each window: (k, lo, i, w1, w2), 128 bits of hash."""
+
+    def run(batches):
+        for b in batches:
+            texts = text_bytes(b.column("words"))
+            for i, j in chunks(texts):
+                w = Words(texts[i:j], lower=False)
+                r1, at = rolling(w.hashes("a"), w.doc, width, "a")
+                r2, _ = rolling(w.hashes("b"), w.doc, width, "b")
+                own = w.doc[at]
+                take = pa.array(i + own)
+                yield pa.RecordBatch.from_arrays([b.column("k").take(take), b.column("lo").take(take), pa.array((at - w.first[own]).astype(np.int32)), pa.array(r1.view(np.int64)), pa.array(r2.view(np.int64))], names=["k", "lo", "i", "w1", "w2"])
+
+    return contents.select("k", "lo", "words").mapInArrow(run, "k binary, lo long, i int, w1 long, w2 long")
 
 
 def _bucket(rows: list[tuple[int, int, bytes]], width: int):
@@ -194,12 +195,18 @@ def repeated_spans(docs: DataFrame, width: int = 50, mer: int = 8, hot: int = 64
     lists = own.join(shared, "m").groupBy("doc_id").agg(F.collect_list("m").alias("shared"), F.collect_list(F.when(F.col("burns"), F.col("m"))).alias("hot"))
     texts = docs.select("doc_id", "text").join(lists, "doc_id")
     sent = cut(_sent(texts, width, mer))
-    cold = sent.where("words is not null").select("doc_id", "m", "at", "words").repartition(parts(docs), "m").sortWithinPartitions("m")
+    cold = sent.where("k is null").select("doc_id", "m", "at", "words").repartition(parts(docs), "m").sortWithinPartitions("m")
     spans = _counted(cold, width)
-    burning = sent.where("words is null").select("doc_id", "at", "w1", "w2")
-    lowest = burning.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
-    late = burning.join(lowest, ["w1", "w2"]).where("doc_id > lo").select("doc_id", F.col("at").alias("a"), (F.col("at") + width).alias("b"))
-    each = spans.unionByName(late).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # hot ones: each distinct string once, its windows dealt by hash, then back to where the string occurs
+    burning = sent.where("k is not null").select("doc_id", "at", "n", "k", "words")
+    contents = cut(burning.groupBy("k").agg(F.min("doc_id").alias("lo"), F.min("words").alias("words")))
+    windows = cut(_windows(contents, width))
+    lowest = windows.groupBy("w1", "w2").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("w1", "w2", "least")
+    some = windows.join(lowest, ["w1", "w2"]).where("least < lo").select("k", "i")
+    again = burning.select("doc_id", "at", "n", "k").join(contents.select("k", "lo"), "k")
+    whole = again.where("doc_id > lo").select("doc_id", F.col("at").alias("a"), (F.col("at") + F.col("n") + (width - 1)).alias("b"))
+    part = again.where("doc_id = lo").join(some, "k").select("doc_id", (F.col("at") + F.col("i")).alias("a"), (F.col("at") + F.col("i") + width).alias("b"))
+    each = spans.unionByName(whole).unionByName(part).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return each.unionByName(copies)
 
 
