@@ -10,8 +10,10 @@ set larger than t log t. Bands of bins give candidate pairs.
 Candidates are tested on the full sets of 64-bit shingle hashes. A bucket of one band first
 tests each member against the bucket's smallest member only; what that links are components.
 Only then do members of one bucket that still lie in different components get compared
-with each other. A large group of near copies thus costs a few tests for each member, and
-no link between different texts is left out for the size of its bucket.
+with each other, unless their differences from the smallest member, or shingles that no
+other candidate has, prove them too far apart. A large group of near copies thus costs a few
+tests for each member, and no link between different texts is left out for the size of its
+bucket.
 
 Defined results: A-Z are lower-cased; a null or wordless text has an empty set and links
 with nothing; a text with fewer words than a shingle is one shingle; rows with the same set
@@ -114,23 +116,36 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, SKETCHED)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets are similar enough."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs (a, b) the sizes of their full sets and of the intersection: (a, b, na, nb, same)."""
 
     def run(batches):
         for b in batches:
             x, y = b.column("sa"), b.column("sb")
-            ok = np.zeros(b.num_rows, bool)
+            got = np.zeros((3, b.num_rows), np.int64)
             for k in range(b.num_rows):
                 u, v = np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64)
                 both = np.concatenate((u, v))
                 both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                ok[k] = 100 * same >= percent * (len(u) + len(v) - same)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
+                got[:, k] = len(u), len(v), int((both[1:] == both[:-1]).sum())
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(g) for g in got)], names=["a", "b", "na", "nb", "same"])
 
     got = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return got.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return got.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long, same long")
+
+
+def _lone(docs: DataFrame, size: int) -> DataFrame:
+    """docs: doc_id, text. (rep, u): the number of shingles that no other of these documents has."""
+
+    def run(batches):
+        for b in batches:
+            sets = shingle_sets(text_bytes(b.column(1)), size)
+            ids = np.repeat(b.column(0).to_numpy(), [len(u) for u in sets])
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_signed(flat), pa.int64())], names=["rep", "g"])
+
+    rows = docs.mapInArrow(run, "rep long, g long")
+    return rows.groupBy("g").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -158,18 +173,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     size_ok = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     n_of = reps.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("m"))
     stars = member.where("rep != pivot").select("rep", "n", "pivot").distinct().join(n_of, "pivot").where(size_ok)
-    tested = cut(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-    ids = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = _sets(d.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size)
-    links = cut(_verified(tested, sets, percent))
+    tested = stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    text_of = lambda ids: d.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = _sets(text_of(member.select(F.col("rep").alias("doc_id")).distinct()), size)
+    similar = f"100 * same >= {percent} * (na + nb - same)"
+    tested = cut(_overlaps(tested, sets))
+    links = tested.where(similar).select("a", "b")
     comp = components(links).withColumnRenamed("node", "rep")
-    # members of one bucket in different components
-    placed = member.join(comp, "rep", "left").withColumn("comp", F.coalesce("component_id", "rep")).select("key", "rep", "n", "comp")
+    # members of one bucket in different components; x: shingles that the pivot lacks, y: shingles of the pivot that are lacking
+    placed = member.join(comp, "rep", "left").withColumn("comp", F.coalesce("component_id", "rep")).select("key", "rep", "n", "comp", "pivot")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = cut(placed.join(mixed, "key"))
-    other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-    pairs = rest.withColumnRenamed("rep", "a").join(other, "key").where(f"a < b and comp != comp_b and {size_ok}").select("a", "b").distinct()
-    more = cut(_verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent))
+    seen = tested.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (F.col("nb") - F.col("same")).alias("x"), (F.col("na") - F.col("same")).alias("y"))
+    lone = _lone(text_of(rest.select(F.col("rep").alias("doc_id")).distinct()).select("doc_id", "text"), size)
+    rest = rest.join(seen, ["pivot", "rep"], "left").join(lone, "rep", "left").select(
+        "key", "rep", "n", "comp", F.when(F.col("rep") == F.col("pivot"), 0).otherwise(F.col("x")).alias("x"), F.when(F.col("rep") == F.col("pivot"), 0).otherwise(F.col("y")).alias("y"), F.coalesce("u", F.lit(0)).alias("u"))
+    rest = cut(rest)
+    other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("u").alias("u2"))
+    # two sets differ in at least this many shingles: those that only one has at all, and what they differ by from the pivot
+    apart = "(u + u2 + coalesce(abs((x - u) - (x2 - u2)) + abs(y - y2), 0))"
+    close = f"100 * (n + m - {apart}) >= {percent} * (n + m + {apart})"
+    pairs = rest.withColumnRenamed("rep", "a").join(other, "key").where(f"a < b and comp != comp_b and {size_ok} and {close}").select("a", "b").distinct()
+    more = cut(_overlaps(pairs.join(tested, ["a", "b"], "left_anti"), sets).where(similar).select("a", "b"))
     comp = components(links.union(more)) if more.limit(1).count() else comp.withColumnRenamed("rep", "node")
     named = reps.select("n_shingles", "h1", "h2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
     got = sk.select("doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"], "left")
