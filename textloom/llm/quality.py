@@ -139,4 +139,6 @@ def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     own = docs.columns
     clash = {c: f"__own_{k}" for k, c in enumerate(own) if c != text}
     back = {v: k for k, v in clash.items()}
-    return judge(docs.withColumnsRenamed(clash), text).where("kept").select(*[clash.get(c, c) for c in own]).withColumnsRenamed(back)
+    # A random column keeps the optimiser from moving the filter below the measures and repeating them in it.
+    got = judge(docs.withColumnsRenamed(clash), text).withColumn("__q_r", F.rand(0))
+    return got.where("kept and __q_r >= 0").select(*[clash.get(c, c) for c in own]).withColumnsRenamed(back)
