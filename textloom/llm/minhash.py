@@ -188,12 +188,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lone = _lone(text_of(rest.select(F.col("rep").alias("doc_id")).distinct()).select("doc_id", "text"), size)
     rest = rest.join(seen, ["pivot", "rep"], "left").join(lone, "rep", "left").select(
         "key", "rep", "n", "comp", F.when(F.col("rep") == F.col("pivot"), 0).otherwise(F.col("x")).alias("x"), F.when(F.col("rep") == F.col("pivot"), 0).otherwise(F.col("y")).alias("y"), F.coalesce("u", F.lit(0)).alias("u"))
-    rest = cut(rest)
-    other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("u").alias("u2"))
+    rest = cut(rest.join(reps.select("rep", "bands"), "rep"))
+    other = rest.select("key", F.col("rep").alias("b"), F.col("bands").alias("bands2"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("u").alias("u2"))
+    # each pair is looked at in one of the buckets that it shares;
     # two sets differ in at least this many shingles: those that only one has at all, and what they differ by from the pivot
     apart = "(u + u2 + coalesce(abs((x - u) - (x2 - u2)) + abs(y - y2), 0))"
     close = f"100 * (n + m - {apart}) >= {percent} * (n + m + {apart})"
-    pairs = rest.withColumnRenamed("rep", "a").join(other, "key").where(f"a < b and comp != comp_b and {size_ok} and {close}").select("a", "b").distinct()
+    pairs = rest.withColumnRenamed("rep", "a").join(other, "key").where(f"a < b and comp != comp_b and {size_ok} and {close} and key = array_min(array_intersect(bands, bands2))").select("a", "b").distinct()
     more = cut(_overlaps(pairs.join(tested, ["a", "b"], "left_anti"), sets).where(similar).select("a", "b"))
     comp = components(links.union(more)) if more.limit(1).count() else comp.withColumnRenamed("rep", "node")
     named = reps.select("n_shingles", "h1", "h2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
