@@ -92,12 +92,12 @@ def smart_idf(code: str) -> Column:
 def _weights(post: DataFrame, stats: DataFrame, row: str, schemes: list[str], pivot: Column) -> DataFrame:
     """(row, token, scheme, w) for all schemes at once: one pass, exploded schemes."""
     got = post.join(stats, "token")
-    for t in TFS:
-        got = got.withColumn(f"t_{t}", smart_term(t, [row]))
+    for i, t in enumerate(TFS):  # column names differ by more than case
+        got = got.withColumn(f"t_{i}", smart_term(t, [row]))
     for d in DFS:
         got = got.withColumn(f"d_{d}", smart_idf(d))
     pairs = sorted({s[:2] for s in schemes})
-    got = got.withColumn("u", F.count("*").over(W.partitionBy(row)).cast("double")).select(row, "token", "u", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), (F.col(f"t_{p[0]}") * F.col(f"d_{p[1]}")).alias("w")) for p in pairs])).alias("x")).select(row, "token", "u", "x.p", "x.w")
+    got = got.withColumn("u", F.count("*").over(W.partitionBy(row)).cast("double")).select(row, "token", "u", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), (F.col(f"t_{TFS.index(p[0])}") * F.col(f"d_{p[1]}")).alias("w")) for p in pairs])).alias("x")).select(row, "token", "u", "x.p", "x.w")
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(row, "p")))
     got = got.withColumn("length", length)
     norms = {"n": F.lit(1.0), "c": F.when(F.col("length") > 0, 1 / F.col("length")).otherwise(0.0), "u": 1 / ((1 - SLOPE) * pivot + SLOPE * F.col("u"))}
