@@ -7,8 +7,9 @@ cannot belong to a repeated window: such super-k-mers need not travel. All other
 packed as one string of words and sent to the bucket of their minimiser, where the windows
 are sorted by their words and each sequence gets its smallest document. A minimiser shared
 by more than ``hot`` texts would make a bucket too large for a task; of its super-k-mers each
-distinct string (told by a 128-bit hash) is kept once with its smallest document, cut into
-windows, and these are dealt by a 128-bit hash and reduced on the map side.
+distinct string (told by a 128-bit hash) is kept once with its smallest document and cut into runs of
+``piece`` windows; of these again each distinct one is kept once and cut into windows, dealt
+by a 128-bit hash and reduced on the map side.
 
 Equal texts are told by a 128-bit hash beforehand: all but the first lose every covered
 word, and only the first one's windows are looked at.
@@ -132,6 +133,26 @@ def _windows(contents: DataFrame, width: int) -> DataFrame:
     return contents.select("k", "lo", "words").mapInArrow(run, "k binary, lo long, i int, w1 long, w2 long")
 
 
+def _pieces(contents: DataFrame, width: int, piece: int) -> DataFrame:
+    """contents: k, lo, words. Cut into runs of ``piece`` windows: (k, lo, i, n, kp, words), kp a hash of the run's words."""
+
+    def run(batches):
+        for b in batches:
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for k, lo, words in zip(b.column("k").to_pylist(), b.column("lo").to_pylist(), b.column("words").to_pylist(), strict=True):
+                ws = words.split(b" ")
+                n = len(ws) - width + 1
+                for i in range(0, n, piece):
+                    c = min(piece, n - i)
+                    part = b" ".join(ws[i : i + c + width - 1])
+                    for to, v in zip(out, (k, lo, i, c, hashlib.blake2b(part, digest_size=16).digest(), part), strict=True):
+                        to.append(v)
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["k", "lo", "i", "n", "kp", "words"])
+
+    return contents.select("k", "lo", "words").mapInArrow(run, "k binary, lo long, i int, n int, kp binary, words binary")
+
+
 def _bucket(rows: list[tuple[int, int, bytes]], width: int):
     """Rows (doc, at, words) of one minimiser: (doc, from, to) of words to be removed."""
     windows = []
@@ -181,7 +202,7 @@ def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["doc_id", "a", "b"])
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, mer: int = 8, hot: int = 64) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 50, mer: int = 8, hot: int = 64, piece: int = 5) -> DataFrame:
     """docs: doc_id, text. One row for each document that loses words: (doc_id, spans: array of (a, b)), null spans for all words."""
     spark = docs.sparkSession
     ship(spark)
@@ -197,15 +218,20 @@ def repeated_spans(docs: DataFrame, width: int = 50, mer: int = 8, hot: int = 64
     sent = cut(_sent(texts, width, mer))
     cold = sent.where("k is null").select("doc_id", "m", "at", "words").repartition(parts(docs), "m").sortWithinPartitions("m")
     spans = _counted(cold, width)
-    # hot ones: each distinct string once, its windows dealt by hash, then back to where the string occurs
+    # hot ones: each distinct string once, each distinct run of its windows once, then back to where the string occurs
     burning = sent.where("k is not null").select("doc_id", "at", "n", "k", "words")
     contents = cut(burning.groupBy("k").agg(F.min("doc_id").alias("lo"), F.min("words").alias("words")))
-    windows = cut(_windows(contents, width))
+    cuts = cut(_pieces(contents, width, piece))
+    parts_ = cut(cuts.groupBy("kp").agg(F.min("lo").alias("least"), F.min("words").alias("words")))
+    known = cuts.select("k", "lo", "i", "n", "kp").join(parts_.select("kp", "least"), "kp")
+    earlier = known.where("least < lo").select("k", "i", "n")
+    windows = cut(_windows(parts_.select(F.col("kp").alias("k"), F.col("least").alias("lo"), "words"), width))
     lowest = windows.groupBy("w1", "w2").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("w1", "w2", "least")
-    some = windows.join(lowest, ["w1", "w2"]).where("least < lo").select("k", "i")
+    late = windows.join(lowest, ["w1", "w2"]).where("least < lo").select(F.col("k").alias("kp"), F.col("i").alias("j"))
+    some = earlier.unionByName(known.where("least = lo").select("k", "i", "kp").join(late, "kp").select("k", (F.col("i") + F.col("j")).alias("i"), F.lit(1).alias("n")))
     again = burning.select("doc_id", "at", "n", "k").join(contents.select("k", "lo"), "k")
     whole = again.where("doc_id > lo").select("doc_id", F.col("at").alias("a"), (F.col("at") + F.col("n") + (width - 1)).alias("b"))
-    part = again.where("doc_id = lo").join(some, "k").select("doc_id", (F.col("at") + F.col("i")).alias("a"), (F.col("at") + F.col("i") + width).alias("b"))
+    part = again.where("doc_id = lo").drop("n").join(some, "k").select("doc_id", (F.col("at") + F.col("i")).alias("a"), (F.col("at") + F.col("i") + F.col("n") + (width - 1)).alias("b"))
     each = spans.unionByName(whole).unionByName(part).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return each.unionByName(copies)
 
