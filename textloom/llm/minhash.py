@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, components, cut, grams, mix, ship, text_bytes
+from .common import Words, chunks, components, cut, grams, mix, ship, small, text_bytes
 
+#: Ids of documents that share a bucket are broadcast up to this many (16 MB); beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -116,22 +118,30 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, SKETCHED)
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """For pairs (a, b) the sizes of their full sets and of the intersection: (a, b, na, nb, same)."""
+def _overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """For pairs (a, b) the sizes of their full sets and of the intersection: (a, b, na, nb, same).
+
+    Texts travel, not sets: they compress well, and a set is twice as large.
+    """
 
     def run(batches):
         for b in batches:
-            x, y = b.column("sa"), b.column("sb")
+            a_ids, b_ids = b.column("a").to_pylist(), b.column("b").to_pylist()
+            first = {}
+            for ids, column in ((a_ids, "ta"), (b_ids, "tb")):
+                for k, i in enumerate(ids):
+                    first.setdefault(i, (column, k))
+            sets = dict(zip(first, shingle_sets([b.column(c)[k].as_py().encode() for c, k in first.values()], size), strict=True))
             got = np.zeros((3, b.num_rows), np.int64)
-            for k in range(b.num_rows):
-                u, v = np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64)
+            for k, (i, j) in enumerate(zip(a_ids, b_ids, strict=True)):
+                u, v = sets[i], sets[j]
                 both = np.concatenate((u, v))
                 both.sort()
                 got[:, k] = len(u), len(v), int((both[1:] == both[:-1]).sum())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(g) for g in got)], names=["a", "b", "na", "nb", "same"])
 
-    got = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return got.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long, same long")
+    got = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    return got.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, same long")
 
 
 def _lone(docs: DataFrame, size: int) -> DataFrame:
@@ -148,15 +158,6 @@ def _lone(docs: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("g").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            sets = [u.tobytes() for u in shingle_sets(text_bytes(b.column(1)), size)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["id", "s"])
-
-    return docs.mapInArrow(run, "id long, s binary")
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -174,10 +175,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_of = reps.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("m"))
     stars = member.where("rep != pivot").select("rep", "n", "pivot").distinct().join(n_of, "pivot").where(size_ok)
     tested = stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    text_of = lambda ids: d.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = _sets(text_of(member.select(F.col("rep").alias("doc_id")).distinct()), size)
+    ids = member.select(F.col("rep").alias("doc_id")).distinct()
+    texts = cut(d.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     similar = f"100 * same >= {percent} * (na + nb - same)"
-    tested = cut(_overlaps(tested, sets))
+    tested = cut(_overlaps(tested, texts, size))
     links = tested.where(similar).select("a", "b")
     comp = components(links).withColumnRenamed("node", "rep")
     # members of one bucket in different components; x: shingles that the pivot lacks, y: shingles of the pivot that are lacking
@@ -185,7 +186,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = cut(placed.join(mixed, "key"))
     seen = tested.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (F.col("nb") - F.col("same")).alias("x"), (F.col("na") - F.col("same")).alias("y"))
-    lone = _lone(text_of(rest.select(F.col("rep").alias("doc_id")).distinct()).select("doc_id", "text"), size)
+    lone = _lone(texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"), size)
     rest = rest.join(seen, ["pivot", "rep"], "left").join(lone, "rep", "left").select(
         "key", "rep", "n", "comp", F.when(F.col("rep") == F.col("pivot"), 0).otherwise(F.col("x")).alias("x"), F.when(F.col("rep") == F.col("pivot"), 0).otherwise(F.col("y")).alias("y"), F.coalesce("u", F.lit(0)).alias("u"))
     rest = cut(rest.join(reps.select("rep", "bands"), "rep"))
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     apart = "(u + u2 + coalesce(abs((x - u) - (x2 - u2)) + abs(y - y2), 0))"
     close = f"100 * (n + m - {apart}) >= {percent} * (n + m + {apart})"
     pairs = rest.withColumnRenamed("rep", "a").join(other, "key").where(f"a < b and comp != comp_b and {size_ok} and {close} and key = array_min(array_intersect(bands, bands2))").select("a", "b").distinct()
-    more = cut(_overlaps(pairs.join(tested, ["a", "b"], "left_anti"), sets).where(similar).select("a", "b"))
+    more = cut(_overlaps(pairs.join(tested, ["a", "b"], "left_anti"), texts, size).where(similar).select("a", "b"))
     comp = components(links.union(more)) if more.limit(1).count() else comp.withColumnRenamed("rep", "node")
     named = reps.select("n_shingles", "h1", "h2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
     got = sk.select("doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"], "left")
