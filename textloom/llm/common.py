@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step takes at a time; bounds a worker's memory.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
+#: Rows of an Arrow batch: texts can be long, and a batch is held whole by a Python worker.
+BATCH_ROWS = 1000
 _shipped: set[str] = set()
 
 
@@ -28,8 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark application."""
+    """Give the executors this package, once for each Spark application; keep the session's Arrow batches small."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -105,7 +109,7 @@ def _inverse(base: int) -> np.uint64:
 
 
 with np.errstate(over="ignore"):
-    _POW = {"a": _powers(_BASE, 1 << 16), "b": _powers(_BASE2, 1 << 16)}
+    _POW = {"a": _powers(_BASE, 1 << 12), "b": _powers(_BASE2, 1 << 16)}
 _INV = {"a": _inverse(_BASE), "b": _inverse(_BASE2)}
 _INVPOW: dict[str, np.ndarray] = {"a": np.ones(1, np.uint64), "b": np.ones(1, np.uint64)}
 

@@ -77,8 +77,9 @@ class Vocabulary:
         self.rank = np.append(np.array(rank, np.int32)[order], _NONE)
         self.made = np.append(np.array(made, np.int32)[order], np.int32(0))
         self.pair = {k: (r, m) for k, r, m in zip(keys, rank, made, strict=True)}
-        self.memory: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        # a segment's ids, joined by commas; with the decoded text where that is not the segment itself
+        self.memory: dict[str, str | tuple[str, str]] = {}
+        self.older: dict[str, str | tuple[str, str]] = {}
 
     def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair of symbols; negative symbols merge with nothing."""
@@ -220,7 +221,8 @@ class Vocabulary:
                 some = some[: next((k for k, s in enumerate(some) if len(s) > max(WIDE // 4, len(some[0]) + 4)), len(some)) or 1]
                 got = self._side_by_side(some)
             for s, ids in zip(some, got, strict=True):
-                self.memory[s] = (",".join(map(str, ids)), self.decode(ids))
+                joined, back = ",".join(map(str, ids)), self.decode(ids)
+                self.memory[s] = joined if back == s.replace(MARK, " ") else (joined, back)
             i += len(some)
 
     def encode_all(self, texts: list[str]) -> list[tuple[str, str]]:
@@ -233,7 +235,12 @@ class Vocabulary:
         out = []
         for c in cut:
             got = [self.memory[s] for s in c]
-            out.append((",".join([x[0] for x in got]), "".join([x[1] for x in got])[1:]))
+            if tuple in set(map(type, got)):
+                back = "".join([s.replace(MARK, " ") if isinstance(x, str) else x[1] for s, x in zip(c, got, strict=True)])
+                got = [x if isinstance(x, str) else x[0] for x in got]
+            else:
+                back = "".join(c).replace(MARK, " ")
+            out.append((",".join(got), back[1:]))
         return out
 
     def audit(self, text: str, ids: str, decoded: str) -> None:
