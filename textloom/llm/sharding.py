@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
 Documents with equal texts are linked (each to its group, a hub, never to each other).
-Linked documents start on shards dealt by hash. The linked rows of one group and one
-starting shard are a cell; cells move, round by round, to the shard with room where most
+Linked documents start on shards dealt by hash. The linked rows of one group, one starting
+shard and one of a few hash bins are a cell; cells move, round by round, to the shard with room where most
 bytes of their group lie, as far as that shard's quota goes: askers are admitted in hash
 order up to the room, by a histogram of their hashes, never by sorting a shard in one task.
 A group larger than a shard thus fills one shard and spills into others. At last the free
@@ -28,10 +28,13 @@ from .common import cut
 #: Hash bins of a shard's askers, of the free documents' line, and of a shard's slots. The
 #: driver and broadcasts see at most shards * ASK_BINS, LINE_BINS and shards * SLOT_BINS sums.
 ASK_BINS = 64
+CELL_BINS = 16
 LINE_BINS = 4096
 SLOT_BINS = 64
 #: A shard counts as open while it has this part of its capacity left.
 OPEN = 0.01
+#: Free documents above these parts of a shard's capacity (one over the number) are placed before smaller ones.
+LARGE = (4, 16, 64)
 
 
 def _bin(n: int, seed: int, *key: Column | str) -> Column:
@@ -46,25 +49,26 @@ def _choose(of: Column, values: dict[int, float], default) -> Column:
 
 
 def propagate(cells: DataFrame, shards: int, capacity: float, rounds: int) -> DataFrame:
-    """cells: g, s0 (starting shard), n (bytes). Returns (g, s0, s) with the shard after the last round.
+    """cells: g, s0 (starting shard), c (bin), n (bytes). Returns (g, s0, c, s) with the shard after the last round.
 
-    No shard is filled beyond its capacity by a move.
+    No shard is filled beyond its capacity by a move; one that had to turn askers away is full from then on.
     """
-    now = cut(cells.select("g", "s0", "n", F.col("s0").alias("s")))
+    now = cut(cells.select("g", "s0", "c", "n", F.col("s0").alias("s")))
+    full: set[int] = set()
     load = {x["s"]: float(x["n"]) for x in now.groupBy("s").agg(F.sum("n").alias("n")).collect()}
     group = W.partitionBy("g")
     for r in range(rounds):
         room = {s: capacity - load.get(s, 0.0) for s in range(shards)}
-        has_room = [s for s, x in room.items() if x > OPEN * capacity]
+        has_room = [s for s, x in room.items() if x > OPEN * capacity and s not in full]
         votes = F.struct(F.sum("n").over(W.partitionBy("g", "s")).alias("m"), F.xxhash64("g", "s").alias("tie"), F.col("s").alias("to"))
         rated = now.repartition("g").withColumn("own", votes)
         top = F.max(F.when(F.col("s").isin(has_room), F.col("own"))).over(group)
         asked = rated.withColumn("top", top)
         asks = F.coalesce((F.col("top.to") != F.col("s")) & (F.col("top") > F.col("own")), F.lit(False))
-        asked = cut(asked.select("g", "s0", "n", "s", F.when(asks, F.col("top.to")).alias("to"), F.when(asks, _bin(ASK_BINS, 100 + r, "g", "s0")).alias("q")))
+        asked = cut(asked.select("g", "s0", "c", "n", "s", F.when(asks, F.col("top.to")).alias("to"), F.when(asks, _bin(ASK_BINS, 100 + r, "g", "s0", "c")).alias("q")))
         sums = asked.where("to is not null").groupBy("to", "q").agg(F.sum("n").alias("n")).collect()
         if not sums:
-            return now.select("g", "s0", "s")
+            return now.select("g", "s0", "c", "s")
         last: dict[int, int] = {}
         filled = dict.fromkeys(range(shards), 0.0)
         closed = set()
@@ -75,9 +79,10 @@ def propagate(cells: DataFrame, shards: int, capacity: float, rounds: int) -> Da
             else:
                 closed.add(x["to"])
         moves = F.col("q") <= _choose(F.col("to"), last, -1)
-        now = asked.select("g", "s0", "n", F.when(moves, F.col("to")).otherwise(F.col("s")).alias("s"))
+        full |= closed
+        now = asked.select("g", "s0", "c", "n", F.when(moves, F.col("to")).otherwise(F.col("s")).alias("s"))
         load = {x["s"]: float(x["n"]) for x in now.groupBy("s").agg(F.sum("n").alias("n")).collect()}
-    return now.select("g", "s0", "s")
+    return now.select("g", "s0", "c", "s")
 
 
 def _line(df: DataFrame, size: str, *key: str) -> DataFrame:
@@ -92,6 +97,23 @@ def _line(df: DataFrame, size: str, *key: str) -> DataFrame:
     return got.join(F.broadcast(before), "bin").withColumn("at", F.col("before") + F.sum(size).over(own) - F.col(size)).drop("bin", "before")
 
 
+def _fill(free: DataFrame, shards: int, capacity: float, load: dict[int, float], total: float | None) -> DataFrame:
+    """Free rows with their shard: the line of their bytes is cut in proportion to the shards' rooms.
+
+    total: bytes of ``free``; None if they fill all room there is.
+    """
+    room = [max(0.0, capacity - load.get(s, 0.0)) for s in range(shards)]
+    scale = 1.0 if total is None or not sum(room) else total / sum(room)
+    ends, end = [], 0.0
+    for s in range(shards):
+        end += room[s] * scale
+        ends.append((end, s))
+    cuts = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(s).alias("s")) for e, s in ends])
+    middle = F.col("at") + F.col("size") / 2
+    spot = F.coalesce(F.get(F.filter(cuts, lambda c: c["e"] > middle), F.lit(0))["s"], F.lit(max(range(shards), key=room.__getitem__)))
+    return _line(free, "size", "doc_id", "u").select("doc_id", "u", "size", "text_crc32", "group_rows", spot.alias("shard"))
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", rounds: int = 6) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, group_rows) for every row of ``docs``."""
     raw = F.col(text)
@@ -104,22 +126,27 @@ def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", t
     )
     rows = cut(rows)
     hubs = rows.where("g is not null").groupBy("g").agg(F.count("*").alias("group_rows")).where("group_rows > 1")
-    rows = cut(rows.join(hubs, "g", "left").withColumn("s0", F.when(F.col("group_rows").isNotNull(), _bin(shards, 1, "doc_id", "u"))))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rows = cut(rows.join(hubs, "g", "left").withColumn("s0", F.when(F.col("group_rows").isNotNull(), _bin(shards, 1, "doc_id", "u"))).withColumn("c", _bin(CELL_BINS, 2, "doc_id", "u")))
+    free = F.col("s0").isNull()
+    sums = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("all"), F.max(F.when(free, F.col("size"))).alias("most")).first()
+    total = sums["all"]
     capacity = total / shards
     linked = rows.where("s0 is not null")
-    placed = linked.join(propagate(linked.groupBy("g", "s0").agg(F.sum("size").alias("n")), shards, capacity, rounds), ["g", "s0"])
+    placed = linked.join(propagate(linked.groupBy("g", "s0", "c").agg(F.sum("size").alias("n")), shards, capacity, rounds), ["g", "s0", "c"])
     placed = cut(placed.select("doc_id", "u", "size", "text_crc32", "group_rows", F.col("s").alias("shard")))
     load = {x["shard"]: float(x["n"]) for x in placed.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
-    ends, end = [], 0.0
-    for s in range(shards):
-        end += max(0.0, capacity - load.get(s, 0.0))
-        ends.append((end, s))
-    cuts = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(s).alias("s")) for e, s in ends])
-    middle = F.col("at") + F.col("size") / 2
-    spot = F.coalesce(F.get(F.filter(cuts, lambda c: c["e"] > middle), F.lit(0))["s"], F.lit(shards - 1))
-    spread = _line(rows.where("s0 is null"), "size", "doc_id", "u").select("doc_id", "u", "size", "text_crc32", "group_rows", spot.alias("shard"))
-    got = slots(cut(placed.unionByName(spread)))
+    # large free documents first, so that the small ones can level what these leave uneven
+    limits = [capacity / k for k in LARGE if (sums["most"] or 0) > capacity / k]
+    rest = rows.where(free)
+    for hi, lo in zip([None, *limits], [*limits, None], strict=True):
+        own = rest.where(F.lit(True) if lo is None else F.col("size") > lo).where(F.lit(True) if hi is None else F.col("size") <= hi)
+        spread = _fill(own, shards, capacity, load, None if lo is None else own.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+        if lo is not None:
+            spread = cut(spread)
+            for x in spread.groupBy("shard").agg(F.sum("size").alias("n")).collect():
+                load[x["shard"]] = load.get(x["shard"], 0.0) + x["n"]
+        placed = placed.unionByName(spread)
+    got = slots(cut(placed))
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.coalesce("group_rows", F.lit(1)).cast("long").alias("group_rows"))
 
 
