@@ -140,7 +140,7 @@ def ncd_gzip_matrix(spark, sf):
 
 
 VOCAB = 500
-CO = f"{GLOBAL.replace(', fs AS', ', xx AS')}, vb AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, min(g)) - 1 AS id FROM gp GROUP BY token QUALIFY id < {VOCAB}), sm AS (SELECT id, row_number() OVER (ORDER BY g) AS pos FROM gp JOIN vb USING (token)), co1 AS (SELECT a.id AS w, b.id AS c, sum((5 - d + 1) / 5.0::DOUBLE) AS x FROM sm a, unnest([1, 2, 3, 4, 5]) r(d) JOIN sm b ON b.pos = a.pos + d GROUP BY a.id, b.id), co AS (SELECT w, c, sum(x) AS x FROM (SELECT * FROM co1 UNION ALL SELECT c, w, x FROM co1) GROUP BY w, c)"
+CO = f"{GLOBAL.replace(', fs AS', ', xx AS')}, vb AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, min(g)) - 1 AS id FROM gp GROUP BY token QUALIFY id < {VOCAB}), sm AS (SELECT id, row_number() OVER (ORDER BY g) AS pos FROM gp JOIN vb USING (token)), co1 AS (SELECT w, c, sum(x) AS x FROM (" + " UNION ALL ".join(f"SELECT id AS w, lead(id, {d}) OVER (ORDER BY pos) AS c, {(6 - d) / 5}::DOUBLE AS x FROM sm" for d in range(1, 6)) + ") WHERE c IS NOT NULL GROUP BY w, c), co AS (SELECT w, c, sum(x) AS x FROM (SELECT * FROM co1 UNION ALL SELECT c, w, x FROM co1) GROUP BY w, c)"
 
 
 def _stream(spark, sf):
