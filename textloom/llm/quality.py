@@ -86,7 +86,7 @@ def default_rules(text: str = "text") -> list[Rule]:
     t = text_of(text)
     letters = F.length(F.translate(F.lower(t), "abcdefghijklmnopqrstuvwxyz", ""))
     return [
-        Rule("symbols", F.col("n_symbols") * 10 > F.col("word_chars")),
+        Rule("symbols", F.col("n_symbols") * 20 > F.col("word_chars")),
         Rule("shouting", (F.length(t) - F.length(without(t, "!"))) * 20 > F.col("word_chars")),
         Rule("dup_lines", F.col("n_dup_lines") * 10 > 7 * F.greatest(F.lit(1), F.size(F.split(t, "\n")))),
         Rule("long_words", F.col("word_chars") > 40 * F.col("n_words")),

@@ -80,7 +80,7 @@ m AS (SELECT part.doc_id, t, len(w)::BIGINT AS n_words, length(regexp_replace(t,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM part LEFT JOIN covered ON part.doc_id = covered.doc_id),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-ruled AS (SELECT *, NOT base_failed AND NOT (n_symbols * 10 > word_chars)
+ruled AS (SELECT *, NOT base_failed AND NOT (n_symbols * 20 > word_chars)
   AND NOT ((length(t) - length(replace(t, '!', ''))) * 20 > word_chars)
   AND NOT (n_dup_lines * 10 > 7 * greatest(1, len(string_split(t, chr(10)))))
   AND NOT (word_chars > 40 * n_words) AND NOT (regexp_replace(lower(t), '[a-z]', '', 'g') = lower(t) AND lower(t) = upper(t))
