@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.tables import bounded, lengths, postings
+from ..plans.tables import bounded, cut, lengths, postings
 
 K1, B = 1.5, 0.75
 TFS, DFS, NORMS = "nlabL", "ntp", "ncu"
@@ -47,7 +47,7 @@ def bm25_terms(post: DataFrame, size: DataFrame) -> DataFrame:
 def bm25_parts(docs: DataFrame, terms: DataFrame, tokenize=text.words, k1: float = K1, b: float = B) -> DataFrame:
     """(doc_id, token, part): what one occurrence of the token in a query adds to the document's score."""
     size = lengths(docs, tokenize=tokenize)
-    post = _matching(docs, terms, tokenize)
+    post = cut(_matching(docs, terms, tokenize))  # used for frequencies and for scores
     mean = size.agg(F.avg("len").alias("mean")).select(F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
     got = post.join(bm25_terms(post, size), "token").join(size, "doc_id").crossJoin(F.broadcast(mean))
     tf = F.col("tf").cast("double")
@@ -67,7 +67,7 @@ def weighted(docs: DataFrame, weights: DataFrame, tokenize=text.words) -> DataFr
 
 def tfidf(docs: DataFrame, queries: DataFrame, qid: str = "item_id", column: str = "text", tokenize=text.words) -> DataFrame:
     """Cosine of raw tf times ln((1 + N) / (1 + df)) + 1, for both sides on the documents' vocabulary."""
-    post = postings(docs, tokenize=tokenize)
+    post = cut(postings(docs, tokenize=tokenize))
     n = docs.agg(F.count("*").alias("n_docs"))
     idf = post.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     x = post.join(idf, "token").select("doc_id", "token", (F.col("tf") * F.col("idf")).alias("x"))
@@ -89,20 +89,28 @@ def smart_idf(code: str) -> Column:
     return {"n": F.lit(1.0), "t": F.log(n / df), "p": F.greatest(F.lit(0.0), F.log(F.when(n > df, (n - df) / df).otherwise(F.lit(1e-300))))}[code]
 
 
-def _weights(post: DataFrame, stats: DataFrame, row: str, schemes: list[str], pivot: Column) -> DataFrame:
-    """(row, token, scheme, w) for all schemes at once: one pass, exploded schemes."""
+def _weights(post: DataFrame, stats: DataFrame, row: str, schemes: list[str], pivot: Column, only: DataFrame | None = None) -> DataFrame:
+    """(row, token, scheme, w) for all schemes at once.
+
+    A row's lengths under every scheme come from one window over its terms; only then are
+    the terms of ``only`` picked and the schemes exploded.
+    """
     got = post.join(stats, "token")
     for i, t in enumerate(TFS):  # column names differ by more than case
         got = got.withColumn(f"t_{i}", smart_term(t, [row]))
-    for d in DFS:
-        got = got.withColumn(f"d_{d}", smart_idf(d))
     pairs = sorted({s[:2] for s in schemes})
-    got = got.withColumn("u", F.count("*").over(W.partitionBy(row)).cast("double")).select(row, "token", "u", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), (F.col(f"t_{TFS.index(p[0])}") * F.col(f"d_{p[1]}")).alias("w")) for p in pairs])).alias("x")).select(row, "token", "u", "x.p", "x.w")
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(row, "p")))
-    got = got.withColumn("length", length)
-    norms = {"n": F.lit(1.0), "c": F.when(F.col("length") > 0, 1 / F.col("length")).otherwise(0.0), "u": 1 / ((1 - SLOPE) * pivot + SLOPE * F.col("u"))}
-    made = F.explode(F.array(*[F.struct(F.lit(k).alias("norm"), (F.col("w") * v).alias("w")) for k, v in norms.items()]))
-    return got.select(row, "token", "p", made.alias("y")).select(row, "token", F.concat("p", "y.norm").alias("scheme"), F.col("y.w").alias("w")).where(F.col("scheme").isin(schemes))
+    by = W.partitionBy(row)
+    got = got.select(row, "token", F.count("*").over(by).cast("double").alias("u"), *[(F.col(f"t_{TFS.index(p[0])}") * smart_idf(p[1])).alias(f"w_{j}") for j, p in enumerate(pairs)])
+    got = got.select("*", *[F.sqrt(F.sum(F.col(f"w_{j}") * F.col(f"w_{j}")).over(by)).alias(f"l_{j}") for j in range(len(pairs))])
+    if only is not None:
+        got = got.join(bounded(only), "token", "left_semi")
+
+    def scheme(s: str) -> Column:
+        w, length = F.col(f"w_{pairs.index(s[:2])}"), F.col(f"l_{pairs.index(s[:2])}")
+        norm = {"n": F.lit(1.0), "c": F.when(length > 0, 1 / length).otherwise(0.0), "u": 1 / ((1 - SLOPE) * pivot + SLOPE * F.col("u"))}[s[2]]
+        return F.struct(F.lit(s).alias("scheme"), (w * norm).alias("w"))
+
+    return got.select(row, "token", F.explode(F.array(*[scheme(s) for s in schemes])).alias("x")).select(row, "token", "x.scheme", "x.w")
 
 
 def smart_grid(docs: DataFrame, queries: DataFrame, doc_schemes: list[str], query_scheme: str = "ltc", qid: str = "item_id", column: str = "text") -> DataFrame:
@@ -114,14 +122,14 @@ def smart_grid(docs: DataFrame, queries: DataFrame, doc_schemes: list[str], quer
     for s in [*doc_schemes, query_scheme]:
         if len(s) != 3 or s[0] not in TFS or s[1] not in DFS or s[2] not in NORMS:
             raise ValueError(f"unknown weighting {s!r}")
-    post = postings(docs)
+    post = cut(postings(docs))
     n = docs.agg(F.count("*").alias("n_docs"))
-    stats = post.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
+    stats = cut(post.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)))
     mean = post.agg((F.count("*") / docs.count()).alias("m")).first()["m"] or 1.0
-    d = _weights(post, stats, "doc_id", doc_schemes, F.lit(float(mean)))
     qpost = postings(queries, qid, column).join(stats.select("token"), "token", "left_semi")
     qmean = qpost.agg((F.count("*") / queries.count()).alias("m")).first()["m"] or 1.0
     q = _weights(qpost, stats, qid, [query_scheme], F.lit(float(qmean))).select(F.col(qid).alias("qid"), "token", F.col("w").alias("qw"))
+    d = _weights(post, stats, "doc_id", doc_schemes, F.lit(float(mean)), q.select("token").distinct())
     return d.join(bounded(q), "token").groupBy("scheme", "qid", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score")).where("score > 0")
 
 
