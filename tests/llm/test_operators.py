@@ -212,6 +212,13 @@ def test_html():
     assert len(html.main_text(long)) == 249999
 
 
+def test_html_body_beside_article_cards():
+    body = "".join(f"<div>Paragraph {i} of the page tells its story at length.</div>" for i in range(5))
+    gap = "<ul><li><a href=a>one</a></li><li><a href=b>two</a></li><li><a href=c>three</a></li><li><a href=d>four</a></li></ul>"
+    page = f"<body>{body}{gap}<article class=card><h2><a href=x>Teaser</a></h2><p>Short one.</p></article></body>"
+    assert html.main_text(page).split("\n")[:5] == [f"Paragraph {i} of the page tells its story at length." for i in range(5)]
+
+
 def test_toxicity_held_out(spark):
     rnd = random.Random(4)
     bad = ["vile", "filth", "scorn"]

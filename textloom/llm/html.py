@@ -6,8 +6,8 @@ much of it stands in links or in elements that frame an article (menus, headers,
 side bars, notices, adverts, forms, reader comments). The weight of a line is its length
 outside of those. Weights are summed over sliding windows of ``block`` lines; the text
 begins where the sums surge from (next to) nothing and ends where they dive again. Runs
-between a surge and a dive compete by their total weight; an article or main element, where
-a page has one, holds its lines together as one run. Framed lines inside the run are left out.
+between a surge and a dive compete by their total weight. An article or main element only
+adds the length of its links to the weight of its lines. Framed lines inside the run are left out.
 
 Defined results: null, empty and tag-free html give the empty text or their own lines;
 unclosed tags end with the page; broken references stay as they are; repeated rows and ids
@@ -35,7 +35,6 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 #: Words of class, id and role values that name a frame.
 FRAME_WORDS = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice notification popup modal newsletter subscribe signup share sharing social comment comments disqus respond replies related recommended sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead toolbar login search complementary contentinfo".split())
-
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -159,28 +158,22 @@ def main_text(page: str | None, block: int = 3, surge: int = 1) -> str:
     if not page:
         return ""
     lines = page_lines(page)
-    if not lines:
-        return ""
-    held = any(x.held and not x.framed for x in lines)
-    weights = [0 if x.framed or (held and not x.held) else max(0, len(x.text) - x.links) if not x.held else len(x.text) for x in lines]
+    weights = [0 if x.framed else len(x.text) if x.held else max(0, len(x.text) - x.links) for x in lines]
     sums = line_blocks(weights, block)
-    best, top = (0, 0), 0
+    runs: list[tuple[int, int, int]] = []  # begin, end, total weight
     i, n = 0, len(lines)
     while i < n:
         if sums[i] < surge:
             i += 1
             continue
-        j, total = i, 0
+        j = i
         while j < n and sums[j] >= surge:  # from the surge to the dive
-            total += weights[j]
             j += 1
-        if total > top:
-            best, top = (i, j), total
+        inside = [k for k in range(i, j) if weights[k] > 0]
+        runs.append((inside[0], inside[-1] + 1, sum(weights[i:j])))
         i = j
-    if held:  # an article holds its lines together
-        inside = [k for k, x in enumerate(lines) if x.held and not x.framed]
-        best = (inside[0], inside[-1] + 1)
-    return "\n".join(x.text for x, w in zip(lines[best[0] : best[1]], weights[best[0] : best[1]], strict=True) if w > 0)
+    kept = [max(runs, key=lambda r: r[2])] if runs else []
+    return "\n".join(x.text for begin, end, _ in kept for x, w in zip(lines[begin:end], weights[begin:end], strict=True) if w > 0)
 
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
