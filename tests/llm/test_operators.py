@@ -219,6 +219,16 @@ def test_html_body_beside_article_cards():
     assert html.main_text(page).split("\n")[:5] == [f"Paragraph {i} of the page tells its story at length." for i in range(5)]
 
 
+def test_html_keeps_every_run():
+    one, two = "<p>First part of the story.</p><p>More of the first part.</p>", "<p>Second part, a light one.</p>"
+    links = "".join(f"<p><a href={i}>link {i}</a></p>" for i in range(4))
+    advert = "<div class=ad><p>Buy.</p><p>Buy now.</p><p>Buy more.</p></div>"
+    want = "First part of the story.\nMore of the first part.\n"
+    assert html.main_text(f"<div>{one}{links}{two}</div>") == want + "Second part, a light one."
+    assert html.main_text(f"<div>{one}{advert}<p>No full stop</p></div>") == want + "No full stop"
+    assert html.main_text(f"<div>{one}<p><a href=x>See also</a></p>{two}</div>") == want + "See also\nSecond part, a light one."
+
+
 def test_toxicity_held_out(spark):
     rnd = random.Random(4)
     bad = ["vile", "filth", "scorn"]

@@ -5,9 +5,12 @@ elements go, each block element begins a line, and each line keeps its text leng
 much of it stands in links or in elements that frame an article (menus, headers, footers,
 side bars, notices, adverts, forms, reader comments). The weight of a line is its length
 outside of those. Weights are summed over sliding windows of ``block`` lines; the text
-begins where the sums surge from (next to) nothing and ends where they dive again. Runs
-between a surge and a dive compete by their total weight. An article or main element only
-adds the length of its links to the weight of its lines. Framed lines inside the run are left out.
+begins where the sums surge from (next to) nothing and ends where they dive again. Framed
+lines are left out first, so that they neither end a run nor stand in one. Every run that
+reads as text is kept, whole from its first to its last weighty line, lines of links between
+those included: a run with a long line or the end of a sentence outside of links, and in any
+case the heaviest. An article or main element only adds the length of its links to the weight
+of its lines.
 
 Defined results: null, empty and tag-free html give the empty text or their own lines;
 unclosed tags end with the page; broken references stay as they are; repeated rows and ids
@@ -35,6 +38,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 #: Words of class, id and role values that name a frame.
 FRAME_WORDS = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice notification popup modal newsletter subscribe signup share sharing social comment comments disqus respond replies related recommended sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead toolbar login search complementary contentinfo".split())
+#: A line with that many characters outside of links reads as text, as does one that ends a sentence.
+RUNNING = 40
+SENTENCE_ENDS = tuple(".!?…。！？۔।")
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -153,12 +160,18 @@ def line_blocks(weights: list[int], block: int) -> list[int]:
     return sums
 
 
+def _reads(line: Line) -> bool:
+    """Whether a line reads as running text outside of its links."""
+    own = len(line.text) - line.links
+    return own >= RUNNING or (own > 0 and line.text.endswith(SENTENCE_ENDS))
+
+
 def main_text(page: str | None, block: int = 3, surge: int = 1) -> str:
     """The article's lines joined by newlines; see the module's text."""
     if not page:
         return ""
-    lines = page_lines(page)
-    weights = [0 if x.framed else len(x.text) if x.held else max(0, len(x.text) - x.links) for x in lines]
+    lines = [x for x in page_lines(page) if not x.framed]  # what frames is bridged
+    weights = [len(x.text) if x.held else max(0, len(x.text) - x.links) for x in lines]
     sums = line_blocks(weights, block)
     runs: list[tuple[int, int, int]] = []  # begin, end, total weight
     i, n = 0, len(lines)
@@ -172,8 +185,9 @@ def main_text(page: str | None, block: int = 3, surge: int = 1) -> str:
         inside = [k for k in range(i, j) if weights[k] > 0]
         runs.append((inside[0], inside[-1] + 1, sum(weights[i:j])))
         i = j
-    kept = [max(runs, key=lambda r: r[2])] if runs else []
-    return "\n".join(x.text for begin, end, _ in kept for x, w in zip(lines[begin:end], weights[begin:end], strict=True) if w > 0)
+    heaviest = max(runs, key=lambda r: r[2], default=None)
+    kept = [r for r in runs if r is heaviest or any(_reads(x) for x in lines[r[0] : r[1]])]
+    return "\n".join(x.text for begin, end, _ in kept for x in lines[begin:end])
 
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
