@@ -135,3 +135,11 @@ def test_readers(spark):
     assert [(r["sense"], r["offset"]) for r in readers.sense_index(index).orderBy("sense").collect()] == [(1, "00001"), (2, "00002")]
     s = spark.createDataFrame([(["a" * 30, "b" * 30],)], "sentences array<string>")
     assert readers.joined_sentences(s).first()["at"] == [30]
+
+
+def test_language_profiles_join_whole_texts(spark):
+    from textloom.plans.catalogue_factors import _profiles
+
+    rows = [(i, "en", f"{i} " + "word " * 600) for i in range(40)] + [(100, "de", None), (101, "de", "kurz")]
+    got = {r["label"]: r["p"] for r in _profiles(spark.createDataFrame(rows, "doc_id long, label string, text string")).collect()}
+    assert got == {"en": " ".join(t for _, label, t in rows if label == "en")[:8000], "de": "kurz"}

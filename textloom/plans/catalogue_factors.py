@@ -107,14 +107,25 @@ def _deflated(s):  # a pandas Series
     return s.map(lambda x: len(zlib.compress((x or "").encode(), 9)))
 
 
+PROFILE = 8000
+
+
+def _profiles(docs):
+    """(label, p): the first ``PROFILE`` characters of each label's texts, joined in id order."""
+    docs = docs.where("text is not null")
+    w = W.partitionBy("label").orderBy("doc_id")
+    # from ids and lengths alone, the last id that a profile needs; a text and the blank after it add one character at least
+    sizes = docs.select("label", "doc_id", (F.length("text") + 1).alias("n")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= PROFILE)
+    ends = sizes.withColumn("before", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).where(F.col("before") < PROFILE).groupBy(F.col("label").alias("of")).agg(F.max("doc_id").alias("end"))
+    start = docs.join(bounded(cut(ends)), F.col("label").eqNullSafe(F.col("of"))).where("doc_id is null or doc_id <= end").select("label", "doc_id", F.substring("text", 1, PROFILE).alias("t"))
+    return start.groupBy("label").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), " "), 1, PROFILE).alias("p"))
+
+
 @query("langid_compression")
 def langid_compression(spark, sf):
-    """Languages by how much a text adds to a compressed profile of 8,000 characters: confusion counts."""
+    """Languages by how much a text adds to a compressed profile, the first 8,000 characters of a language's joined whole texts: confusion counts."""
     d = _langs(spark, sf)
-    start = d.where("not test").select("label", "doc_id", F.substring("text", 1, 400).alias("t"))
-    w = W.partitionBy("label").orderBy("doc_id")
-    prof = start.withColumn("r", F.row_number().over(w)).where("r <= 20").groupBy("label").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]), " "), 1, 8000).alias("p"))
-    prof = cut(prof.withColumn("c", _deflated(F.col("p"))))
+    prof = cut(_profiles(d.where("not test")).withColumn("c", _deflated(F.col("p"))))
     t = d.where("test").select("doc_id", F.col("label").alias("truth"), F.substring("text", 1, 200).alias("t")).join(bounded(prof.withColumnRenamed("label", "predicted"), 1000), how="cross")
     s = t.select("doc_id", "truth", "predicted", (_deflated(F.concat_ws(" ", "p", "t")) - F.col("c")).alias("added"))
     best = s.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy("added", "predicted"))).where("r = 1")
