@@ -143,3 +143,11 @@ def test_language_profiles_join_whole_texts(spark):
     rows = [(i, "en", f"{i} " + "word " * 600) for i in range(40)] + [(100, "de", None), (101, "de", "kurz")]
     got = {r["label"]: r["p"] for r in _profiles(spark.createDataFrame(rows, "doc_id long, label string, text string")).collect()}
     assert got == {"en": " ".join(t for _, label, t in rows if label == "en")[:8000], "de": "kurz"}
+
+
+def test_random_control_ranks_every_item(spark, tmp_path):
+    from textloom.plans import catalogue
+
+    spark.range(3).selectExpr("id AS doc_id", "'a' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(10_500).selectExpr("id AS item_id", "'a' AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert catalogue.QUERIES["random_control"](spark, str(tmp_path)).select("qid").distinct().count() == 10_500

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import uniform, uniform_sql
 from ..operators import metrics, search
 from .registry import POST, query
-from .tables import cut, read
+from .tables import bounded, cut, read
 
 
 def _tables(spark, sf):
@@ -89,7 +89,7 @@ def recall_mrr_tfidf(spark, sf):
 @query("random_control", f"WITH s AS (SELECT item_id AS qid, doc_id, {uniform_sql(9, 'item_id', 'doc_id')} AS u FROM benchmark, documents), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(u, 9) DESC, doc_id) AS rank FROM s) SELECT qid, rank, doc_id FROM r WHERE rank <= 10")
 def random_control(spark, sf):
     docs, items = _tables(spark, sf)
-    pairs = docs.select("doc_id").crossJoin(F.broadcast(items.select(F.col("item_id").alias("qid")).limit(10_000)))  # the stated query set, against all rows
+    pairs = docs.select("doc_id").crossJoin(bounded(items.select(F.col("item_id").alias("qid"))))  # the stated query set, against all rows
     return search.ranked(pairs.withColumn("score", uniform(9, "qid", "doc_id")), 10).select("qid", "rank", "doc_id")
 
 
