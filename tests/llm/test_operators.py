@@ -255,6 +255,12 @@ def test_poisson_law(spark):
     assert abs(got[0] - 1.7) < 0.05 and abs(got[1] - 1.7) < 0.1
 
 
+def test_poisson_law_at_high_rates(spark):
+    for rate in (150.0, 250.0, 1000.0, 3161.0, 200000.0):
+        got = spark.range(1000).select(mixing.poisson(mixing.uniform("id", seed=1), F.lit(rate)).alias("k")).agg(F.avg("k"), F.var_samp("k")).first()
+        assert abs(got[0] - rate) < 0.15 * rate**0.5 and 0.8 < got[1] / rate < 1.2
+
+
 def test_mixing_weights(spark):
     d = spark.createDataFrame([(i, "big" if i < 3000 else "small") for i in range(4000)], "doc_id long, source string")
     n = {r["source"]: r["n"] for r in mixing.mix_sources(d, weights={"big": 1.0, "small": 1.0}).groupBy("source").agg(F.count("*").alias("n")).collect()}

@@ -29,11 +29,20 @@ def uniform(*parts: Column | str, seed: int) -> Column:
 
 
 def poisson(u: Column, rate: Column) -> Column:
-    """The smallest k with P(X <= k) >= u. The sum runs far past where 48 bits of u can reach."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
+    """The smallest k with P(X <= k) >= u. The sum runs far past where 48 bits of u can reach, on both sides of the mode.
+
+    Where the lower side leaves out counts (rates above about 200), the terms are relative to
+    the first one and divided by their sum, since exp(-rate) would underflow.
+    """
+    reach = 12 * F.sqrt(rate) + 30
+    first, last = F.greatest(F.floor(rate - reach), F.lit(0)).cast("int"), F.ceil(rate + reach).cast("int")
+    terms = F.sequence(first + 1, last)
+    more = lambda a, i: F.struct((a["p"] * rate / i).alias("p"), (a["c"] + a["p"] * rate / i).alias("c"))
+    whole = F.aggregate(terms, F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("c")), more, lambda a: a["c"])
+    p = F.when(first == 0, F.exp(-rate)).otherwise(1 / whole)
+    start = F.struct(p.alias("p"), p.alias("c"), first.alias("k"))
     step = lambda a, i: F.when(a["c"] >= u, a).otherwise(F.struct((a["p"] * rate / i).alias("p"), (a["c"] + a["p"] * rate / i).alias("c"), i.alias("k")))
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["k"])
+    return F.aggregate(terms, start, step, lambda a: a["k"])
 
 
 def tempered_rates(docs: DataFrame, source: str, alpha: float, weights: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
