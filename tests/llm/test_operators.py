@@ -250,6 +250,21 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_documents(docs, toxicity.learn(docs, labels.where("toxic = 0"))).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_fixed_phrase(spark):
+    rnd = random.Random(5)
+    rows, marks = [], []
+    for i in range(600):
+        w = [f"w{int(rnd.paretovariate(0.7)) % 3000}" for _ in range(60)]
+        if i % 4 == 0:
+            k = rnd.randrange(57)
+            w[k : k + 3] = ["w1", "zork", "blat"]
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score_documents(docs, toxicity.learn(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))).where("held_out").collect()
+    assert sum(r["predicted"] == marks[r["doc_id"]][1] for r in got) / len(got) > 0.95
+
+
 def test_poisson_law(spark):
     got = spark.range(20000).select(mixing.poisson(mixing.uniform("id", seed=1), F.lit(1.7)).alias("k")).agg(F.avg("k"), F.var_samp("k")).first()
     assert abs(got[0] - 1.7) < 0.05 and abs(got[1] - 1.7) < 0.1
