@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import os
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -265,6 +266,93 @@ def test_toxicity_fixed_phrase(spark):
     assert sum(r["predicted"] == marks[r["doc_id"]][1] for r in got) / len(got) > 0.95
 
 
+def chain_by_hand(rows, least_context):
+    """Brute force of the four orders over (label, words): a function (class, before, word) -> probability; None is a word never seen."""
+    triples, first = {}, {}
+    for y, ws in rows:
+        pairs, singles = set(), set()
+        for u, v, w in zip(["", "", *ws], ["", *ws], ws, strict=False):
+            if (v, w) not in pairs:
+                pairs.add((v, w))
+                triples.setdefault((v, w), set()).add((y, u))
+                if w not in singles:
+                    singles.add(w)
+                    first.setdefault(w, set()).add((y, v))
+    count = lambda got, y: len({c for k, c in got if y is None or k == y})
+    single = {y: {w: count(g, y) for w, g in first.items()} for y in (1, 0, None)}
+    pair = {y: {k: count(g, y) for k, g in triples.items()} for y in (1, 0, None)}
+
+    def lost(c, values):
+        n = [sum(x == k for x in values) for k in (1, 2, 3, 4)]
+        r = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [1 - 2 * r * n[1] / n[0] if n[0] else 0.5, 2 - 3 * r * n[2] / n[1] if n[1] else 1.0, 3 - 4 * r * n[3] / n[2] if n[2] else 1.5]
+        return min(c, min(max(d[min(c, 3) - 1], 0.1), min(c, 3))) if c else 0
+
+    pool = list(single[None].values())
+    d = pool.count(1) / (pool.count(1) + 2 * pool.count(2)) if pool.count(1) else 0.5
+    unseen = d * len(pool) / sum(pool) / (len(pool) + 1)
+
+    def lowest(w):
+        return unseen + (max(single[None][w] - d, 0) / sum(pool) if w in single[None] else 0)
+
+    def word(y, w):
+        own = single[y]
+        c = own.get(w, 0)
+        gone = sum(lost(x, own.values()) for x in own.values())
+        return (c - lost(c, own.values())) / sum(own.values()) + gone / sum(own.values()) * lowest(w)
+
+    def after(y, v):
+        return [c for (a, _), c in pair[y].items() if a == v and c]
+
+    def chain(y, v, w):
+        low = word(y, w)
+        if min(sum(after(k, v)) for k in (1, 0)) < least_context:
+            return low
+        for k in (None, y):
+            own = after(k, v)
+            low = max(pair[k].get((v, w), 0) - 1, 0) / sum(own) + len(own) / sum(own) * low
+        return low
+
+    return chain, sorted(first)
+
+
+def test_toxicity_probabilities_by_hand(spark):
+    rnd = random.Random(8)
+    rows = [(i, i % 3 == 0, [f"w{int(rnd.paretovariate(0.9)) % 12}" for _ in range(25)]) for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, _, w in rows], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, int(y)) for i, y, _ in rows], "doc_id long, toxic int"), least_context=3)
+    chain, known = chain_by_hand([(int(y), w) for i, y, w in rows if zlib.crc32(str(i).encode()) % 3 != 1], 3)
+    n = len(model.index)
+    places = np.array([*(model.index[w.encode()] for w in known), n])
+    for v in ["", *known, None]:
+        at = n if v is None else model.index[v.encode()]
+        p = model.probabilities(np.full(len(places), at), places)
+        assert np.allclose(p.sum(1), 1, atol=1e-6)
+        for k, w in enumerate([*known, None]):
+            assert np.allclose(p[:, k], [chain(1, v, w), chain(0, v, w)], rtol=1e-5), (v, w)
+    assert (model.leave[:2].min(1) < 1).all()  # pairs are in use
+    assert (model.weights[:-1] >= 0).all()
+
+
+def test_best_windows():
+    rnd = np.random.default_rng(2)
+    for n in (1, 3, 4, 5, 9, 30):
+        x = rnd.standard_normal(n)
+        means = [x[i : i + 4].sum() / 4 for i in range(n - 3)] or [x.sum() / 4]
+        i = int(np.argmax(means))
+        other = [m for j, m in enumerate(means) if abs(j - i) >= 4]
+        want = means[0] / 2 if n <= 4 else (means[i] + (max(other) if other else min(0, means[i]))) / 2
+        assert abs(toxicity.best_windows(x, 4) - want) < 1e-12
+
+
+def test_toxicity_edges(spark, odd, none):
+    labels = spark.createDataFrame([(i, int(i in (3, 4, 8))) for i in range(10)], "doc_id long, toxic int")
+    clash = odd.withColumns({"score": F.lit("x"), "y": F.lit(1), "r": F.lit(2), "id": F.lit(3)})
+    assert toxicity.score_documents(clash, toxicity.learn(clash, labels)).count() == odd.count()
+    assert toxicity.score_documents(none, toxicity.learn(none, labels)).count() == 0
+    assert toxicity.learn(odd, labels.limit(0)).scores(np.zeros((2, toxicity.FEATURES))).tolist() == [0, 0]
+
+
 def test_poisson_law(spark):
     got = spark.range(20000).select(mixing.poisson(mixing.uniform("id", seed=1), F.lit(1.7)).alias("k")).agg(F.avg("k"), F.var_samp("k")).first()
     assert abs(got[0] - 1.7) < 0.05 and abs(got[1] - 1.7) < 0.1
