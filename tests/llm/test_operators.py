@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import zlib
@@ -353,15 +354,27 @@ def test_toxicity_edges(spark, odd, none):
     assert toxicity.learn(odd, labels.limit(0)).scores(np.zeros((2, toxicity.FEATURES))).tolist() == [0, 0]
 
 
-def test_poisson_law(spark):
-    got = spark.range(20000).select(mixing.poisson(mixing.uniform("id", seed=1), F.lit(1.7)).alias("k")).agg(F.avg("k"), F.var_samp("k")).first()
-    assert abs(got[0] - 1.7) < 0.05 and abs(got[1] - 1.7) < 0.1
+@pytest.mark.parametrize("rate", [1e-3, 0.05, 1.7, 150.0, 250.0, 745.0, 800.0, 3161.0, 1e5, 1e6])
+def test_poisson_law(spark, rate):
+    table = mixing.poisson_tables(spark.createDataFrame([("s", rate)], "__m_s string, __m_rate double"))
+    got = spark.range(20000).crossJoin(table).select(mixing.poisson(mixing.uniform("id", seed=1)).alias("k"))
+    mean, var = got.agg(F.avg("k"), F.var_samp("k")).first()
+    assert abs(mean - rate) < 5 * (rate / 20000) ** 0.5 and (rate < 1 or 0.93 < var / rate < 1.07)
+    numbers = table.first()["__m_cdf"]
+    assert len(numbers) < 18 * rate**0.5 + 25 and numbers == sorted(numbers)
 
 
-def test_poisson_law_at_high_rates(spark):
-    for rate in (150.0, 250.0, 1000.0, 3161.0, 200000.0):
-        got = spark.range(1000).select(mixing.poisson(mixing.uniform("id", seed=1), F.lit(rate)).alias("k")).agg(F.avg("k"), F.var_samp("k")).first()
-        assert abs(got[0] - rate) < 0.15 * rate**0.5 and 0.8 < got[1] / rate < 1.2
+def test_poisson_inversion(spark):
+    """Against the sum of the terms, term by term."""
+    table = mixing.poisson_tables(spark.createDataFrame([("s", 2.5)], "__m_s string, __m_rate double"))
+    for r in spark.range(3000).crossJoin(table).select(mixing.uniform("id", seed=3).alias("u"), mixing.poisson(mixing.uniform("id", seed=3)).alias("k")).collect():
+        k, p = 0, math.exp(-2.5)
+        c = p
+        while c < r["u"]:
+            k += 1
+            p *= 2.5 / k
+            c += p
+        assert k == r["k"]
 
 
 def test_mixing_weights(spark):
@@ -370,6 +383,23 @@ def test_mixing_weights(spark):
     assert abs(n["big"] - 2000) < 200 and abs(n["small"] - 2000) < 200
 
 
+def test_mixing_keeps_sources_without_a_weight(spark):
+    d = spark.createDataFrame([(i, "abcd"[i % 4] if i % 4 < 3 else None) for i in range(4000)], "doc_id long, source string")
+    count = lambda **how: {r["source"]: r["n"] for r in mixing.mix_sources(d, **how).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    got = count(weights={"a": 3.0, "b": 1.0})
+    assert abs(got["a"] - 1500) < 200 and abs(got["b"] - 500) < 120 and abs(got["c"] - 1000) < 160 and abs(got[None] - 1000) < 160
+    got = count(weights={"a": 0.0, None: 0.0})
+    assert set(got) == {"b", "c"} and abs(got["b"] - 2000) < 220
+    assert set(count(weights={None: 1.0, "a": 0})) == {None, "b", "c"}
+
+
+def test_mixing_clashing_columns(spark):
+    d = spark.createDataFrame([(i, "s", 5.0, "c", "k", 7) for i in range(50)], "doc_id long, source string, rate double, Copy string, shuffle_key string, n int")
+    got = mixing.mix_sources(d)
+    assert got.columns == [*d.columns, "copy_", "shuffle_key_"]
+    assert {(r["rate"], r["Copy"], r["shuffle_key"], r["n"]) for r in got.collect()} == {(5.0, "c", "k", 7)}
+
+
 def test_sharding(spark):
     rows = [(i, f"text {i} " * (i % 7 + 1)) for i in range(2000)] + [(5000 + i, "copy " * 10) for i in range(800)] + [(7000, None), (7000, None), (None, "x")]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).toPandas()

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import warnings
 import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -55,6 +56,8 @@ def durable(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        warnings.warn("spark.checkpoint.dir is not set: checkpoints go to a folder of the driver's machine", stacklevel=3)
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
@@ -68,6 +71,19 @@ def parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def free_name(name: str, taken) -> str:
+    """``name``, with underscores appended while a column of ``taken`` has it (case does not tell names apart)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def bind(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` or a lambda in it refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint if ``df`` (already materialised) has no more than ``rows`` rows; else ``df``."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

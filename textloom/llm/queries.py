@@ -110,7 +110,7 @@ def mix_sql(docs: str, alpha: float = 0.5, seed: int = 11) -> str:
 n_mix AS (SELECT source, count(*) AS n FROM {docs} GROUP BY source),
 rate_mix AS (SELECT source, pow(n, {alpha}) / sum(pow(n, {alpha})) OVER () * sum(n) OVER () / n AS rate FROM n_mix),
 terms_mix AS (SELECT source, i AS k, sum(exp(-rate + i * ln(rate) - lgamma(i + 1))) OVER (PARTITION BY source ORDER BY i) AS cdf
-  FROM rate_mix, unnest(range(0, 200)) AS r(i)),
+  FROM rate_mix, unnest(range(0, (rate + 12 * sqrt(rate) + 31)::BIGINT)) AS r(i)),
 mixed AS (SELECT d.*, unnest(range(1, n_copies + 1))::INT AS copy FROM (
   SELECT d.*, (SELECT count(*) FROM terms_mix t WHERE t.source IS NOT DISTINCT FROM d.source AND t.cdf < {uniform_sql(seed, "d.doc_id")}) AS n_copies FROM {docs} d) d)
 """
