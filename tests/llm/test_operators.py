@@ -5,10 +5,12 @@ import itertools
 import math
 import os
 import random
+import time
 import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +269,51 @@ def test_toxicity_fixed_phrase(spark):
     assert sum(r["predicted"] == marks[r["doc_id"]][1] for r in got) / len(got) > 0.95
 
 
+def test_html_class_words():
+    body = "<h1>Title here</h1><p>The first paragraph of the story.</p><p>The second paragraph ends it.</p>"
+    want = "Title here\nThe first paragraph of the story.\nThe second paragraph ends it."
+    for opening, closing in (("<body class='single has-sidebar'>", "</body>"), ("<html class='no-cookie-consent'><body>", "</body></html>"), ("<article class='post comments-open'>", "</article>"), ("<main id=content-with-nav>", "</main>"), ("<div class='page with-sidebar'>", "</div>"), ("<div class='has-menu'><div class='login-bar content'>", "</div></div>")):
+        frame = "<div class=sidebar><p>Other stories that you may like to read.</p></div><div id=comments><article class=comment-body><p>I do not agree at all.</p></article></div>"
+        assert html.main_text(opening + body + frame + closing) == want, opening
+
+
+def test_html_copyright_line():
+    page = "<div><p>The only paragraph of this story is here.</p></div><div>© 2024 Some Company</div><p>Copyright 2024 Foo Inc. All rights reserved.</p>"
+    assert html.main_text(page) == "The only paragraph of this story is here."
+    assert html.main_text("<article><p>The story of a law.</p><p>Copyright lasts for seventy years.</p></article>").endswith("seventy years.")
+
+
+def test_html_same_without_article():
+    """On the given pages the blocks alone find what they find beside an article element."""
+    for r in pd.read_parquet(f"{SF}/pages.parquet").html:
+        assert html.main_text(r) == html.main_text(r.replace("<article>", "<div>").replace("</article>", "</div>"))
+
+
+def test_html_runs_by_hand():
+    rnd = random.Random(3)
+    for _ in range(500):
+        w = [rnd.choice([0, 0, 0, 3, 9, 70]) for _ in range(rnd.randrange(30))]
+        sums = [sum(w[i : i + 3]) for i in range(len(w))]
+        assert html.line_blocks(w, 3) == sums
+        least = max(1, min(12, max(sums, default=0) // 3))
+        inside = {k for i, x in enumerate(sums) if x >= least for k in range(i, min(len(w), i + 3))}
+        got = html.text_runs(w, 3, 12)
+        assert all(w[b] and w[e - 1] for b, e in got) and all(x[1] <= y[0] for x, y in itertools.pairwise(got))
+        assert {k for b, e in got for k in range(b, e) if w[k]} == {k for k in inside if w[k]}
+
+
+def test_html_many_stray_tags():
+    began = time.perf_counter()
+    assert html.main_text("<p>The text of the page is this.</p>" + "<span>" * 12000 + "</b>" * 12000 + "<li>" * 12000) == "The text of the page is this."
+    assert time.perf_counter() - began < 2
+
+
+def test_html_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "u", "<p>Some text.</p>", "mine", 7)], "page_id long, url string, html string, text string, n_chars long")
+    got = html.extract_pages(d).first().asDict()
+    assert got == {"page_id": 1, "url": "u", "text": "mine", "n_chars": 7, "text_": "Some text.", "n_chars_": 10}
+
+
 def chain_by_hand(rows, least_context):
     """Brute force of the four orders over (label, words): a function (class, before, word) -> probability; None is a word never seen."""
     triples, first = {}, {}
