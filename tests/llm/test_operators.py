@@ -81,28 +81,90 @@ def measures(t):
 
 
 def test_quality_measures(spark, odd):
-    for r in quality.base_measures(odd).collect():
+    for r in quality.judge(odd).collect():
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == measures(r["text"]), r["text"]
 
 
 def test_quality_order_changes_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    m = quality.base_measures(docs)
     rules = quality.default_rules()
-    a, b = (m.select("doc_id", quality.cascade(r).isNull().alias("ok")).orderBy("doc_id").collect() for r in (rules, rules[::-1]))
+    a, b = (docs.select("doc_id", quality.cascade(r).isNull().alias("ok")).orderBy("doc_id").collect() for r in (rules, rules[::-1]))
     assert a == b and 0 < sum(r["ok"] for r in a) < len(a)
 
 
+def test_quality_filter_keeps_what_judge_keeps(spark, odd):
+    for docs in (odd, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")):
+        want = quality.judge(docs).where("kept").select(*docs.columns)
+        assert quality.filter_documents(docs).exceptAll(want).count() == 0 == want.exceptAll(quality.filter_documents(docs)).count()
+
+
+def test_quality_cascade_stops_at_the_first_rule(spark):
+    """What an early rule rejects is not measured by the later ones."""
+    dear = quality.Rule("dear", F.raise_error(F.lit("measured")).isNotNull())
+    docs = spark.createDataFrame([("one",), ("two",)], "text string")
+    assert {r[0] for r in docs.select(quality.cascade([quality.Rule("all", F.length("text") > 0), dear])).collect()} == {"all"}
+
+
+def test_quality_order_by_rejections_and_cost(spark):
+    docs = spark.createDataFrame([("word " * 400 + str(i),) for i in range(400)], "text string")
+    slow = quality.Rule("slow", quality.repeat_words(quality.words_of(quality.text_of())) > 0)
+    rules = [quality.Rule("none", F.length("text") < 0), slow, quality.Rule("quick", F.length("text") > 0)]
+    assert [r.name for r in quality.measured_order(docs, rules)] == ["quick", "slow", "none"]
+
+
+@pytest.mark.parametrize("letters", ["ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "אבגדהוזחטיכלמנסעפצקרשת", "अआइईउऊएऐओऔकखगघचछजझ", "กขคฆงจฉชซญฎฏฐ", "αβγδεζηθικλμνξο"])
+def test_quality_keeps_every_script(spark, letters):
+    rnd = random.Random(1)
+    text = " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 9))) for _ in range(120))
+    assert quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["kept"]
+
+
 def test_quality_clashing_columns(spark):
     d = spark.createDataFrame([(1, "word " * 9, 5, 6)], "doc_id long, text string, n_words long, kept long")
     assert quality.filter_documents(d).columns == d.columns and quality.filter_documents(d).count() == 0
-
-
-def test_lines(spark):
-    rows = [(i, f"unique {i}\nshared line\n\nshared line", None, None if i % 2 else "s", 0) for i in range(30)] + [(90, "shared line", None, "s", 0), (91, None, None, "s", 0)]
-    got = {r["doc_id"]: r for r in lines.strip_lines(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got[0]["text"] == "unique 0\n" and got[0]["n_removed"] == 2 and got[1]["n_removed"] == 2
-    assert got[90]["text"] == "shared line" and got[91]["text"] is None
+    got = quality.judge(d).first()
+    assert (got["n_words"], got["kept"], got["n_words_"], got["kept_"]) == (5, 6, 9, False)
+
+
+def lines_by_hand(rows, whole_copies):
+    pages, seen = {}, {}
+    for _, t, h in rows:
+        pages[h] = pages.get(h, 0) + 1
+        for x in set((t or "").split("\n")):
+            if split(x):
+                seen[h, x] = seen.get((h, x), 0) + 1
+    bad = {k for k, n in seen.items() if (n >= 10 and n > 0.02 * pages[k[0]]) or (n >= 3 and n > 0.5 * pages[k[0]])}
+    out = []
+    for i, t, h in rows:
+        rest = [x for x in (t or "").split("\n") if (h, x) not in bad]
+        whole = t is None or (whole_copies and not any(map(split, rest)))
+        out.append((i, t if whole else "\n".join(rest)))
+    return out
+
+
+@pytest.mark.parametrize("whole_copies", [False, True])
+@pytest.mark.parametrize("longest", [0, 2000])
+def test_lines(spark, monkeypatch, whole_copies, longest):
+    """Both ways of bringing the lists to the pages, against brute force; hosts of all sizes."""
+    monkeypatch.setattr(lines, "LONGEST_LIST", longest)
+    rnd = random.Random(9)
+    rows = []
+    for i in range(900):
+        h = rnd.choice([None, *["big"] * 60, "a", "b", "c"])
+        own = [rnd.choice([f"unique {i}", "shared line", "", " \t", f"rare {rnd.randrange(200)}", "foot"]) for _ in range(rnd.randrange(1, 6))]
+        rows.append((i, "\n".join(own), h))
+    rows += [(901, None, "big"), (902, "", None), (903, "foot", "big"), (903, "foot", "big"), (None, "shared line\nx", "big")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = lines.strip_lines(d, whole_copies=whole_copies)
+    pairs = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert pairs == sorted(lines_by_hand(rows, whole_copies), key=str)
+    assert got.columns == [*d.columns, "n_lines", "n_removed"]
+
+
+def test_lines_clashing_columns(spark):
+    d = spark.createDataFrame([(i, f"x{i}\nfoot", "s", 7, 8) for i in range(20)], "doc_id long, text string, source string, n_removed long, h long")
+    got = lines.strip_lines(d)
+    assert got.columns == [*d.columns, "n_lines", "n_removed_"] and {(r["n_removed"], r["n_removed_"], r["h"]) for r in got.collect()} == {(7, 1, 8)}
 
 
 def test_minhash_brute_force(spark):
@@ -181,6 +243,22 @@ def test_pieces_agree_with_library(spark):
         assert r["n_tokens"] == len(want) and r["ids"] == ",".join(map(str, want)) and r["decoded"] == v.library.decode(want)
 
 
+def test_long_segments_are_not_remembered():
+    v = pieces.vocabulary("piece_bpe_32k.model")
+    long = ["".join(random.Random(k).choice("abcdefgh") for _ in range(300)) for k in range(40)]
+    for t, (ids, _) in zip(long, v.encode_all(long), strict=True):
+        assert ids == ",".join(map(str, v.library.encode(t)))
+    assert max(map(len, [*v.memory, *v.older])) <= pieces.WIDE
+    v.encode_all(["short"])
+    assert not v.long
+
+
+def test_pieces_clashing_columns(spark):
+    d = spark.createDataFrame([("some text", "mine", 3)], "text string, ids string, n_tokens int")
+    got = pieces.encode_documents(d).first()
+    assert (got["ids"], got["n_tokens"]) == ("mine", 3) and got["n_tokens_"] == len(got["ids_"].split(","))
+
+
 def test_heap_and_lockstep_agree():
     v = pieces.vocabulary("piece_bpe_32k.model")
     for s in ("▁internationalisation", "▁▁▁x", "zzzéé", "▁the"):

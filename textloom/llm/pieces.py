@@ -14,7 +14,9 @@ with the sentencepiece library as well; a difference stops the job.
 
 Defined results: null and empty texts have no ids and decode to the empty text; the space
 mark itself decodes to a space; repeated rows and ids are encoded one by one; an empty
-table gives an empty result. Columns of the input other than the text pass through.
+table gives an empty result; texts of any length are encoded whole. Columns of the input pass
+through; where one is named ids, n_tokens or decoded, the operator's own gets an underscore
+appended.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, ship
+from .common import chunks, free_name, ship
 
 MARK = "▁"
 WIDE = 48
-#: Segments that a worker remembers in each of two generations; what the older one has and is used again moves up.
+#: Segments of up to WIDE characters that a worker remembers in each of two generations; what the older one has and is used again moves up.
 REMEMBERED = 200_000
 #: Encode and decode each k-th row of a batch with the library too.
 AUDIT_EVERY = 32
@@ -80,6 +82,7 @@ class Vocabulary:
         # a segment's ids, joined by commas; with the decoded text where that is not the segment itself
         self.memory: dict[str, str | tuple[str, str]] = {}
         self.older: dict[str, str | tuple[str, str]] = {}
+        self.long: dict[str, str | tuple[str, str]] = {}  # segments beyond WIDE, of one run of texts only
 
     def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair of symbols; negative symbols merge with nothing."""
@@ -205,6 +208,7 @@ class Vocabulary:
 
     def learn(self, segments: set[str]) -> None:
         """Puts segments that are not remembered into the table: their ids, joined by commas, and their decoded text."""
+        self.long = {}
         if len(self.memory) > REMEMBERED:
             self.older, self.memory = self.memory, {}
         new = segments - self.memory.keys()
@@ -222,7 +226,7 @@ class Vocabulary:
                 got = self._side_by_side(some)
             for s, ids in zip(some, got, strict=True):
                 joined, back = ",".join(map(str, ids)), self.decode(ids)
-                self.memory[s] = joined if back == s.replace(MARK, " ") else (joined, back)
+                (self.long if len(s) > WIDE else self.memory)[s] = joined if back == s.replace(MARK, " ") else (joined, back)
             i += len(some)
 
     def encode_all(self, texts: list[str]) -> list[tuple[str, str]]:
@@ -234,7 +238,7 @@ class Vocabulary:
         self.learn(need)
         out = []
         for c in cut:
-            got = [self.memory[s] for s in c]
+            got = [self.memory[s] if len(s) <= WIDE else self.long[s] for s in c]
             if tuple in set(map(type, got)):
                 back = "".join([s.replace(MARK, " ") if isinstance(x, str) else x[1] for s, x in zip(c, got, strict=True)])
                 got = [x if isinstance(x, str) else x[0] for x in got]
@@ -270,10 +274,11 @@ def encode_documents(docs: DataFrame, text: str = "text", model: str = "piece_bp
     ``only``: of the input's columns, keep these.
     """
     ship(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")] if only is None else only
-    picked = docs.select(*keep, *([] if text in keep else [text]))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name in keep), "ids string", "n_tokens long", "decoded string"])
-    names = [*keep, "ids", "n_tokens", "decoded"]
+    keep = docs.columns if only is None else only
+    added = [free_name(c, keep) for c in ("ids", "n_tokens", "decoded")]
+    picked = docs.select(*[f"`{c}`" for c in keep], *([] if text in keep else [text]))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name in keep), *(f"`{c}` {t}" for c, t in zip(added, ("string", "long", "string"), strict=True))])
+    names = [*keep, *added]
     place = picked.columns.index(text)
 
     def run(batches):

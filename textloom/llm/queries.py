@@ -82,23 +82,31 @@ m AS (SELECT part.doc_id, t, len(w)::BIGINT AS n_words, length(regexp_replace(t,
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 ruled AS (SELECT *, NOT base_failed AND NOT (n_symbols * 20 > word_chars)
   AND NOT ((length(t) - length(replace(t, '!', ''))) * 20 > word_chars)
-  AND NOT (n_dup_lines * 10 > 7 * greatest(1, len(string_split(t, chr(10)))))
-  AND NOT (word_chars > 40 * n_words) AND NOT (regexp_replace(lower(t), '[a-z]', '', 'g') = lower(t) AND lower(t) = upper(t))
+  AND NOT (n_dup_lines * 10 > 7 * len(string_split(t, chr(10))))
+  AND NOT (word_chars > 40 * n_words) AND regexp_matches(t, '\p{{L}}')
   AND NOT ((length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) * 2 > word_chars) AS kept FROM judged)
 """
 
-LINES_SQL = rf"""
+def lines_sql(whole_copies: bool) -> str:
+    """CTEs up to ``stripped`` over the relation ``docs_in``."""
+    n = f"len(list_filter(rest, lambda x: regexp_matches(x, '{_WORD}'))) = 0" if whole_copies else "false"
+    return rf"""
 pages AS (SELECT source, count(*) AS n_pages FROM docs_in GROUP BY source),
 lined AS (SELECT source, unnest(list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')))) AS line FROM docs_in),
-bad AS (SELECT l.source, l.line FROM lined l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source GROUP BY l.source, l.line, n_pages HAVING count(*) >= 10 AND count(*) > 0.02 * n_pages),
+bad AS (SELECT l.source, l.line FROM lined l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source GROUP BY l.source, l.line, n_pages
+  HAVING (count(*) >= 10 AND count(*) > 0.02 * n_pages) OR (count(*) >= 3 AND count(*) > 0.5 * n_pages)),
 lists AS (SELECT source, list(line) AS bad FROM bad GROUP BY source),
 cutting AS (SELECT d.*, string_split(coalesce(text, ''), chr(10)) AS ls, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT coalesce(list_contains(bad, x), false)) AS rest FROM docs_in d LEFT JOIN lists b ON d.source IS NOT DISTINCT FROM b.source),
 stripped AS (SELECT doc_id, lang, source, n_chars, len(ls)::BIGINT AS n_lines,
-  CASE WHEN len(list_filter(rest, lambda x: regexp_matches(x, '{_WORD}'))) = 0 THEN 0 ELSE len(ls) - len(rest) END::BIGINT AS n_removed,
-  CASE WHEN text IS NULL OR len(list_filter(rest, lambda x: regexp_matches(x, '{_WORD}'))) = 0 THEN text ELSE array_to_string(rest, chr(10)) END AS text FROM cutting)
+  CASE WHEN {n} THEN 0 ELSE len(ls) - len(rest) END::BIGINT AS n_removed,
+  CASE WHEN text IS NULL OR {n} THEN text ELSE array_to_string(rest, chr(10)) END AS text FROM cutting)
 """
 
 
+#: The line dedup of the pipeline, where copies of pages are left to the near-dedup.
+LINES_SQL = lines_sql(True)
+
+
 def uniform_sql(seed: int, *parts: str) -> str:
     text = " || '|' || ".join([f"'{seed}'", *(f"coalesce({p}::VARCHAR, 'null')" for p in parts)])
     return f"((('0x' || substr(md5({text}), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)"
@@ -157,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": f"WITH {MEASURES_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ruled",
         "op3_embedding_dedup": VECTORS_SQL,
         "op4_minhash_dedup": f"WITH RECURSIVE {near_sql('documents', 3, 85)} SELECT *, doc_id = component_id AS kept FROM near",
-        "op5_line_dedup": f"WITH docs_in AS (SELECT * FROM documents), {LINES_SQL} SELECT doc_id, source, n_lines, n_removed, md5(text) AS kept_md5 FROM stripped",
+        "op5_line_dedup": f"WITH docs_in AS (SELECT * FROM documents), {lines_sql(False)} SELECT doc_id, source, n_lines, n_removed, md5(text) AS kept_md5 FROM stripped",
         "op8_substring_dedup": SUBSTRING_SQL,
         "op7_mix_sources": f"WITH {mix_sql('documents')} SELECT doc_id, source, copy, {uniform_sql(12, 'doc_id', 'copy')} AS shuffle_key FROM mixed",
     }
