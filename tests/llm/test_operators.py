@@ -230,6 +230,25 @@ def test_substring_brute_force(spark, hot):
     assert got[None]["n_removed"] == 0
 
 
+@pytest.mark.parametrize("hot", [1, 64])
+def test_substring_repeated_ids(spark, hot):
+    """Rows of one id with different texts: each loses its own words, and none is lost or multiplied."""
+    p, other = [f"p{i}" for i in range(60)], [f"q{i}" for i in range(90)]
+    rows = [(1, p), (2, ["lead", *p]), (2, other), (2, p), (2, p), (3, [*other[:70], "x"]), (None, p)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["text"]) for r in substring.drop_repeats(d, hot=hot).collect())
+    want = [("1", 60, 0, " ".join(p)), ("2", 60, 60, ""), ("2", 60, 60, ""), ("2", 61, 60, "lead"), ("2", 90, 0, " ".join(other)), ("3", 71, 70, "x"), ("None", 60, 0, " ".join(p))]
+    assert got == sorted(want)
+
+
+def test_substring_one_phrase_over_and_over(spark):
+    """A bucket with many windows of few texts is split as well."""
+    phrase = " ".join(f"w{i}" for i in range(9))
+    d = spark.createDataFrame([(1, " ".join([phrase] * 40)), (2, "lead " + " ".join([phrase] * 400)), (3, "x y z")], "doc_id long, text string")
+    want = {r["doc_id"]: r["text"] for r in substring.drop_repeats(d).collect()}
+    assert want[2] == "lead" and want == {r["doc_id"]: r["text"] for r in substring.drop_repeats(d, hot_windows=50).collect()}
+
+
 def test_pieces_agree_with_library(spark):
     v = pieces.vocabulary("piece_bpe_32k.model")
     rnd = random.Random(2)

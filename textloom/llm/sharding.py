@@ -4,7 +4,7 @@ Documents with equal texts are linked (each to its group, a hub, never to each o
 Linked documents start on shards dealt by hash. The linked rows of one group, one starting
 shard and one of a few hash bins are a cell; cells move, round by round, to the shard with room where most
 bytes of their group lie, as far as that shard's quota goes: the cells are joined with their
-group's tally of each shard and with its best shard, and askers are admitted in hash
+group's tallies of the shards, and askers are admitted in hash
 order up to the room, by a histogram of their hashes, never by sorting a shard in one task.
 Groups that full shards leave cut then move whole to shards with room.
 A group larger than a shard thus fills one shard and spills into others. At last the free
@@ -102,11 +102,11 @@ def propagate(cells: DataFrame, shards: int, capacity: float, rounds: int) -> Da
     for r in range(rounds):
         room = {s: capacity - load.get(s, 0.0) for s in range(shards)}
         has_room = [s for s, x in room.items() if x > OPEN * capacity and s not in full]
-        # a group has at most shards * shards * CELL_BINS cells, and its tally a row for each shard
-        tally = now.groupBy("g", "s").agg(F.sum("n").alias("m"))
+        # a group has at most shards * shards * CELL_BINS cells, and a tally for each shard
         vote = F.struct("m", F.xxhash64("g", "s").alias("tie"), F.col("s").alias("to"))
-        best = tally.groupBy("g").agg(F.max(F.when(F.col("s").isin(has_room), vote)).alias("top"))
-        asked = now.join(tally.select("g", "s", vote.alias("own")), ["g", "s"]).join(best, "g")
+        tally = now.groupBy("g", "s").agg(F.sum("n").alias("m")).select("g", "s", vote.alias("vote"))
+        group = tally.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("s", "vote"))).alias("votes"), F.max(F.when(F.col("s").isin(has_room), F.col("vote"))).alias("top"))
+        asked = now.join(group, "g").withColumn("own", F.element_at("votes", F.col("s")))
         asks = F.coalesce((F.col("top.to") != F.col("s")) & (F.col("top") > F.col("own")), F.lit(False))
         asked = cut(asked.select("g", "s0", "c", "n", "s", F.when(asks, F.col("top.to")).alias("to"), F.when(asks, _bin(ASK_BINS, 100 + r, "g", "s0", "c")).alias("q")))
         sums = asked.where("to is not null").groupBy("to", "q").agg(F.sum("n").alias("n")).collect()

@@ -6,7 +6,7 @@ super-k-mer. Equal windows have equal minimisers, so a minimiser that only one t
 cannot belong to a repeated window: such super-k-mers need not travel. All others are
 packed as one string of words and sent to the bucket of their minimiser, where the windows
 are sorted by their words and each sequence gets its smallest document. A minimiser shared
-by more than ``hot`` texts would make a bucket too large for a task; of its super-k-mers each
+by more than ``hot`` texts, or by more than ``hot_windows`` windows in all, would make a bucket too large for a task; of its super-k-mers each
 distinct string (told by a 128-bit hash) is kept once with its smallest document and cut into runs of
 ``piece`` windows; of these again each distinct one is kept once and cut into windows, dealt
 by a 128-bit hash and reduced on the map side.
@@ -15,9 +15,12 @@ Equal texts are told by a 128-bit hash beforehand: all but the first lose every
 word, and only the first one's windows are looked at.
 
 A word is removed if a window that covers it also starts in a document with a smaller id.
-Defined results: a null text has no words; a text shorter than a window loses nothing; rows
-with one id do not dedup each other; rows with a null id lose nothing and take nothing; an
-empty table gives an empty result.
+Defined results: a null text has no words; a text shorter than a window loses nothing; texts of
+any length are read whole; rows with one id do not dedup each other, whether their texts are
+equal or not, and each loses its own words; rows with a null id lose nothing and take nothing;
+an empty table gives an empty result; other columns are not looked at.
+
+A row is told by its id and a 64-bit hash of its text; rows that share both have the same words.
 """
 
 from __future__ import annotations
@@ -67,34 +70,38 @@ def super_kmers(texts: list[bytes], width: int, mer: int):
 
 
 def _marks(docs: DataFrame, width: int, mer: int) -> DataFrame:
+    """docs: doc_id, t, text. (doc_id, t, digest, mins: array of (m, windows)) of each row."""
+
     def run(batches):
         for b in batches:
-            texts = text_bytes(b.column(1))
-            mins: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-            for _, i, _, d, m, _, _ in super_kmers(texts, width, mer):
+            texts = text_bytes(b.column(2))
+            mins: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
+            for _, i, _, d, m, _, n in super_kmers(texts, width, mer):
                 ends = np.searchsorted(d, np.arange(d[-1] + 2))
                 for k in range(d[0], d[-1] + 1):
                     if ends[k] < ends[k + 1]:
-                        mins[i + k] = np.unique(m[ends[k] : ends[k + 1]])
-            off = np.concatenate(([0], np.cumsum([len(x) for x in mins])))
-            flat = pa.array(np.concatenate(mins) if mins else np.zeros(0, np.int64), pa.int64())
+                        own, at = np.unique(m[ends[k] : ends[k + 1]], return_inverse=True)
+                        mins[i + k] = own, np.bincount(at, n[ends[k] : ends[k + 1]]).astype(np.int64)
+            off = pa.array(np.concatenate(([0], np.cumsum([len(x) for x, _ in mins]))), pa.int32())
+            flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *(x[j] for x in mins)]), pa.int64()) for j in (0, 1)]
             digest = pa.array([hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), digest, pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)], names=["doc_id", "digest", "mins"])
+            lists = pa.ListArray.from_arrays(off, pa.StructArray.from_arrays(flat, names=["m", "n"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), digest, lists], names=["doc_id", "t", "digest", "mins"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, mins array<long>")
+    return docs.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, digest binary, mins array<struct<m:long,n:long>>")
 
 
 def _sent(docs: DataFrame, width: int, mer: int) -> DataFrame:
-    """docs: doc_id, text, shared (array of minimisers), hot (those whose buckets are split).
+    """docs: doc_id, t, text, shared (array of minimisers), hot (those whose buckets are split).
 
-    Super-k-mers (doc_id, m, at, n windows, words, k): k is a 128-bit hash of the words where m is hot, else null.
+    Super-k-mers (doc_id, t, m, at, n windows, words, k): k is a 128-bit hash of the words where m is hot, else null.
     """
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column("doc_id").to_numpy(zero_copy_only=False), text_bytes(b.column("text"))
+            ids, keys, texts = b.column("doc_id").to_numpy(), b.column("t").to_numpy(), text_bytes(b.column("text"))
             shared, hot = b.column("shared"), b.column("hot")
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for w, i, _, d, m, at, n in super_kmers(texts, width, mer):
                 raw = w.buf.tobytes()
                 done = -1
@@ -108,12 +115,12 @@ def _sent(docs: DataFrame, width: int, mer: int) -> DataFrame:
                         continue
                     a, c = int(at[k]), int(n[k])
                     words = b" ".join(raw[int(w.start[a]) : int(w.end[a + c + width - 2])].split())
-                    for to, v in zip(out, (ids[i + int(done)], x, a - int(w.first[d[k]]), c, words, hashlib.blake2b(words, digest_size=16).digest() if x in burning else None), strict=True):
+                    for to, v in zip(out, (ids[i + int(done)], keys[i + int(done)], x, a - int(w.first[d[k]]), c, words, hashlib.blake2b(words, digest_size=16).digest() if x in burning else None), strict=True):
                         to.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "m", "at", "n", "words", "k"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "t", "m", "at", "n", "words", "k"])
 
-    return docs.mapInArrow(run, "doc_id long, m long, at int, n int, words binary, k binary")
+    return docs.mapInArrow(run, "doc_id long, t long, m long, at int, n int, words binary, k binary")
 
 
 def _windows(contents: DataFrame, width: int) -> DataFrame:
@@ -153,10 +160,10 @@ def _pieces(contents: DataFrame, width: int, piece: int) -> DataFrame:
     return contents.select("k", "lo", "words").mapInArrow(run, "k binary, lo long, i int, n int, kp binary, words binary")
 
 
-def _bucket(rows: list[tuple[int, int, bytes]], width: int):
-    """Rows (doc, at, words) of one minimiser: (doc, from, to) of words to be removed."""
+def _bucket(rows: list[tuple[int, int, int, bytes]], width: int):
+    """Rows (doc, t, at, words) of one minimiser: (doc, t, from, to) of words to be removed."""
     windows = []
-    for k, (doc, _, words) in enumerate(rows):
+    for k, (doc, _, _, words) in enumerate(rows):
         ws = words.split(b" ")
         windows.extend((b" ".join(ws[i : i + width]), doc, k, i) for i in range(len(ws) - width + 1))
     windows.sort()
@@ -168,58 +175,59 @@ def _bucket(rows: list[tuple[int, int, bytes]], width: int):
         elif doc > lowest:
             spans.setdefault(k, []).append(i)
     for k, starts in spans.items():
-        doc, at, _ = rows[k]
+        doc, t, at, _ = rows[k]
         starts.sort()
         lo = hi = starts[0]
         for s in starts[1:]:
             if s > hi + 1:
-                yield doc, at + lo, at + hi + width
+                yield doc, t, at + lo, at + hi + width
                 lo = s
             hi = s
-        yield doc, at + lo, at + hi + width
+        yield doc, t, at + lo, at + hi + width
 
 
 def _counted(sent: DataFrame, width: int) -> DataFrame:
     def run(batches):
-        own: list[tuple[int, int, bytes]] = []
+        own: list[tuple[int, int, int, bytes]] = []
         now = None
         for b in batches:
-            out: list[tuple[int, int, int]] = []
-            for doc, m, at, words in zip(b.column("doc_id").to_pylist(), b.column("m").to_pylist(), b.column("at").to_pylist(), b.column("words").to_pylist(), strict=True):
+            out: list[tuple[int, int, int, int]] = []
+            for doc, t, m, at, words in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "m", "at", "words")), strict=True):
                 if m != now:
                     out.extend(_bucket(own, width) if len(own) > 1 else ())
                     own, now = [], m
-                own.append((doc, at, words))
+                own.append((doc, t, at, words))
             yield _spans(out)
         if len(own) > 1:
             yield _spans(list(_bucket(own, width)))
 
-    return sent.mapInArrow(run, "doc_id long, a int, b int")
+    return sent.mapInArrow(run, "doc_id long, t long, a int, b int")
 
 
-def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["doc_id", "a", "b"])
+def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "t", "a", "b"])
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, mer: int = 8, hot: int = 64, piece: int = 5) -> DataFrame:
-    """docs: doc_id, text. One row for each document that loses words: (doc_id, spans: array of (a, b)), null spans for all words."""
+def repeated_spans(docs: DataFrame, width: int = 50, mer: int = 8, hot: int = 64, hot_windows: int = 100_000, piece: int = 5) -> DataFrame:
+    """docs: doc_id, t, text. One row for each (doc_id, t) that loses words: (doc_id, t, spans: array of (a, b)), null spans for all words."""
     spark = docs.sparkSession
     ship(spark)
     marks = cut(_marks(docs.where("doc_id is not null"), width, mer))
     some = marks.where(F.size("mins") > 0)
     firsts = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     named = some.join(firsts.withColumnRenamed("doc_id", "lowest"), "digest")
-    copies = named.where("doc_id > lowest").select("doc_id").distinct().withColumn("spans", F.lit(None).cast("array<struct<a:int,b:int>>"))
-    own = named.where("doc_id = lowest").select("doc_id", F.explode("mins").alias("m")).distinct()
-    shared = own.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("m", (F.col("c") > hot).alias("burns"))
-    lists = own.join(shared, "m").groupBy("doc_id").agg(F.collect_list("m").alias("shared"), F.collect_list(F.when(F.col("burns"), F.col("m"))).alias("hot"))
-    texts = docs.select("doc_id", "text").join(lists, "doc_id")
+    copies = named.where("doc_id > lowest").select("doc_id", "t").distinct().withColumn("spans", F.lit(None).cast("array<struct<a:int,b:int>>"))
+    own = named.where("doc_id = lowest").select("doc_id", "t", F.explode("mins").alias("x")).select("doc_id", "t", "x.m", "x.n").distinct()
+    shared = own.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("n")).where("lo < hi").select("m", ((F.col("c") > hot) | (F.col("n") > hot_windows)).alias("burns"))
+    lists = own.join(shared, "m").groupBy("doc_id", "t").agg(F.collect_list("m").alias("shared"), F.collect_list(F.when(F.col("burns"), F.col("m"))).alias("hot"))
+    texts = docs.select("doc_id", "t", "text").join(lists, ["doc_id", "t"])
     sent = cut(_sent(texts, width, mer))
-    cold = sent.where("k is null").select("doc_id", "m", "at", "words").repartition(parts(docs), "m").sortWithinPartitions("m")
+    cold = sent.where("k is null").select("doc_id", "t", "m", "at", "words").repartition(parts(docs), "m").sortWithinPartitions("m")
     spans = _counted(cold, width)
     # hot ones: each distinct string once, each distinct run of its windows once, then back to where the string occurs
-    burning = sent.where("k is not null").select("doc_id", "at", "n", "k", "words")
+    burning = sent.where("k is not null").select("doc_id", "t", "at", "n", "k", "words")
     contents = cut(burning.groupBy("k").agg(F.min("doc_id").alias("lo"), F.min("words").alias("words")))
     cuts = cut(_pieces(contents, width, piece))
     parts_ = cut(cuts.groupBy("kp").agg(F.min("lo").alias("least"), F.min("words").alias("words")))
@@ -229,17 +237,17 @@ def repeated_spans(docs: DataFrame, width: int = 50, mer: int = 8, hot: int = 64
     lowest = windows.groupBy("w1", "w2").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("w1", "w2", "least")
     late = windows.join(lowest, ["w1", "w2"]).where("least < lo").select(F.col("k").alias("kp"), F.col("i").alias("j"))
     some = earlier.unionByName(known.where("least = lo").select("k", "i", "kp").join(late, "kp").select("k", (F.col("i") + F.col("j")).alias("i"), F.lit(1).alias("n")))
-    again = burning.select("doc_id", "at", "n", "k").join(contents.select("k", "lo"), "k")
-    whole = again.where("doc_id > lo").select("doc_id", F.col("at").alias("a"), (F.col("at") + F.col("n") + (width - 1)).alias("b"))
-    part = again.where("doc_id = lo").drop("n").join(some, "k").select("doc_id", (F.col("at") + F.col("i")).alias("a"), (F.col("at") + F.col("i") + F.col("n") + (width - 1)).alias("b"))
-    each = spans.unionByName(whole).unionByName(part).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    again = burning.select("doc_id", "t", "at", "n", "k").join(contents.select("k", "lo"), "k")
+    whole = again.where("doc_id > lo").select("doc_id", "t", F.col("at").alias("a"), (F.col("at") + F.col("n") + (width - 1)).alias("b"))
+    part = again.where("doc_id = lo").drop("n").join(some, "k").select("doc_id", "t", (F.col("at") + F.col("i")).alias("a"), (F.col("at") + F.col("i") + F.col("n") + (width - 1)).alias("b"))
+    each = spans.unionByName(whole).unionByName(part).groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return each.unionByName(copies)
 
 
-def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 50, mer: int = 8, hot: int = 64) -> DataFrame:
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 50, mer: int = 8, hot: int = 64, hot_windows: int = 100_000) -> DataFrame:
     """(doc_id, text: kept words joined by one space, n_words, n_removed) for every row of ``docs``."""
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_spans(d, width, mer, hot).withColumn("hit", F.lit(True))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
+    spans = repeated_spans(d, width, mer, hot, hot_windows).withColumn("hit", F.lit(True))
 
     def run(batches):
         for b in batches:
@@ -258,4 +266,4 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
-    return d.join(spans, "doc_id", "left").select("doc_id", "text", "spans", "hit").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
+    return d.join(spans, ["doc_id", "t"], "left").select("doc_id", "text", "spans", "hit").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
