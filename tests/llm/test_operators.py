@@ -193,6 +193,26 @@ def test_minhash_brute_force(spark):
     assert got[None]["component_id"] is None and got[None]["kept"]
 
 
+def test_minhash_repeated_ids(spark):
+    """Rows of one id with different texts are rows of their own."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(5, x), (3, x), (3, y), (4, y + " more"), (7, z), (7, x), (8, z), (9, None), (9, z), (7, z)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(d).collect())
+    assert got == sorted([(5, 56, 3), (3, 56, 3), (3, 56, 3), (4, 57, 3), (7, 56, 7), (7, 56, 3), (8, 56, 7), (9, 0, 9), (9, 56, 7), (7, 56, 7)])
+    left = sorted(((r["doc_id"], r["text"]) for r in minhash.keep_first(d).collect()), key=str)
+    assert left == sorted([(3, x), (3, y), (7, z), (7, z), (9, None)], key=str)
+
+
+def test_minhash_hot_pivot(spark, monkeypatch):
+    """A text in many pairs is copied to several tasks; the result is the same."""
+    base = [f"w{i}" for i in range(80)]
+    d = spark.createDataFrame([(i, " ".join([*base, f"end{i}"])) for i in range(60)] + [(99, "other text")], "doc_id long, text string")
+    want = sorted(map(tuple, minhash.near_duplicates(d).collect()))
+    monkeypatch.setattr(minhash, "PAIRS_OF_TEXT", 7)
+    assert want == sorted(map(tuple, minhash.near_duplicates(d).collect())) and {r[2] for r in want} == {0, 99}
+
+
 def test_sketch_estimates_similarity():
     rnd = np.random.default_rng(1)
     u = rnd.integers(0, 2**63, 1500).astype(np.uint64)

@@ -67,6 +67,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Groups with more than this part of all grouped rows (one over the number) are few enough to be broadcast.
+HUB_PART = 100_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (materialised; one row for each value of ``on``, ``size`` rows of its own).
+
+    The largest groups, at most HUB_PART of them whatever the input, are broadcast, so that the
+    rows of none are gathered in a task; the others are joined by shuffle.
+    """
+    n = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) > n / HUB_PART
+    got = rows.join(F.broadcast(groups.where(large)), on, "left")
+    rest = got.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(~large), on, "left")
+    return got.where(F.col(size).isNotNull()).unionByName(rest)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of a file system that Spark knows."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -85,6 +102,11 @@ def free_name(name: str, taken) -> str:
     return name
 
 
+def text_hash(text: str) -> Column:
+    """A 64-bit hash of a text, null counting as empty; with a row's id it tells rows apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def bind(value: Column, use) -> Column:
     """``use`` of a value that is worked out once, however often ``use`` or a lambda in it refers to it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -16,9 +16,13 @@ tests for each member, and no link between different texts is left out for the s
 bucket.
 
 Defined results: A-Z are lower-cased; a null or wordless text has an empty set and links
-with nothing; a text with fewer words than a shingle is one shingle; rows with the same set
-link with each other; rows with a null id are returned with component null and kept true;
-an empty table gives an empty result.
+with nothing; a text with fewer words than a shingle is one shingle; texts of any length count
+whole; rows with the same set link with each other; rows that repeat an id are rows of their
+own, each with the component of its text; rows with a null id are returned with component null
+and kept true; an empty table gives an empty result; other columns are not looked at.
+
+A row is told by its id and a 64-bit hash of its text. Distinct sets are numbered, and
+components are made of these numbers.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, components, cut, grams, mix, ship, small, text_bytes
+from .common import HUB_PART, Words, chunks, components, cut, grams, join_groups, mix, ship, small, text_bytes, text_hash
 
 #: Ids of documents that share a bucket are broadcast up to this many (16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Pairs of one text that a task compares; a text in more pairs is copied.
+PAIRS_OF_TEXT = 500
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -94,15 +100,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-SKETCHED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+SKETCHED = "doc_id long, t long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2: 128 bits that tell sets apart, bands: keys, empty for an empty set)."""
+    """docs: doc_id, t, text. (doc_id, t, n_shingles, h1, h2: 128 bits that tell sets apart, bands: keys, empty for an empty set)."""
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), text_bytes(b.column(1))
+            ids, texts = b.column(0), text_bytes(b.column(2))
             n, h1, h2, keys = [], [], [], []
             for u in shingle_sets(texts, size):
                 n.append(len(u))
@@ -112,12 +118,24 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 keys.append(_signed(band_keys(sketch(u, bands * rows), rows)) if len(u) else np.zeros(0, np.int64))
             off = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), b.column(1), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)], names=["doc_id", "t", "n_shingles", "h1", "h2", "bands"])
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, SKETCHED)
 
 
+def _with_text(pairs: DataFrame, texts: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """``pairs`` with the text of ``key``. Where one text is in very many pairs, it is copied to as many tasks as its pairs need."""
+    counts = cut(pairs.groupBy(key).agg(F.count("*").alias("c")))
+    n = counts.agg(F.sum("c")).first()[0] or 0
+    # at most HUB_PART texts, whatever the input
+    hot = F.broadcast(counts.where(F.col("c") > max(PAIRS_OF_TEXT, n / HUB_PART)).select(key, F.ceil(F.col("c") / PAIRS_OF_TEXT).cast("int").alias("copies")))
+    copies = F.coalesce("copies", F.lit(1))
+    left = pairs.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(other), copies).cast("int")).drop("copies")
+    right = texts.select(F.col("doc_id").alias(key), F.col("text").alias(name)).join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def _overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """For pairs (a, b) the sizes of their full sets and of the intersection: (a, b, na, nb, same).
 
@@ -140,7 +158,7 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 got[:, k] = len(u), len(v), int((both[1:] == both[:-1]).sum())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(g) for g in got)], names=["a", "b", "na", "nb", "same"])
 
-    got = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    got = _with_text(_with_text(cut(pairs), texts, "a", "b", "ta"), texts, "b", "a", "tb")
     return got.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, same long")
 
 
@@ -158,16 +176,14 @@ def _lone(docs: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("g").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    Texts link if 100 * intersection >= percent * union. A pair exactly at the threshold j
-    shares no band with probability (1 - j ** rows) ** bands: 3e-6 for the defaults.
-    """
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, t: hash of the text, n_shingles, component_id) for every row of ``docs``."""
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text).alias("t"), F.col(text).alias("text"))
     sk = cut(sketches(d, size, bands, rows))
     some = sk.where("doc_id is not null and n_shingles > 0")
-    reps = cut(some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")))
+    first = some.groupBy("n_shingles", "h1", "h2").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.count("*").alias("c"), F.min("bands").alias("bands"))
+    # a number for each distinct set; written once and read from there
+    reps = cut(first.select("n_shingles", "h1", "h2", "c", "bands", F.col("first.doc_id").alias("lowest"), F.col("first.t").alias("t"), F.monotonically_increasing_id().alias("rep")))
     rows_ = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     full = rows_.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).where("c > 1").drop("c")
     member = cut(rows_.join(full, "key"))
@@ -175,8 +191,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_of = reps.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("m"))
     stars = member.where("rep != pivot").select("rep", "n", "pivot").distinct().join(n_of, "pivot").where(size_ok)
     tested = stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    ids = member.select(F.col("rep").alias("doc_id")).distinct()
-    texts = cut(d.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    ids = cut(member.select("rep").distinct().join(reps.select("rep", F.col("lowest").alias("i"), F.col("t").alias("h")), "rep"))
+    named = d.join(small(ids, BROADCAST_IDS), (F.col("doc_id") == F.col("i")) & (F.col("t") == F.col("h")))
+    texts = cut(named.select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
     similar = f"100 * same >= {percent} * (na + nb - same)"
     tested = cut(_overlaps(tested, texts, size))
     links = tested.where(similar).select("a", "b")
@@ -198,13 +215,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = rest.withColumnRenamed("rep", "a").join(other, "key").where(f"a < b and comp != comp_b and {size_ok} and {close} and key = array_min(array_intersect(bands, bands2))").select("a", "b").distinct()
     more = cut(_overlaps(pairs.join(tested, ["a", "b"], "left_anti"), texts, size).where(similar).select("a", "b"))
     comp = components(links.union(more)) if more.limit(1).count() else comp.withColumnRenamed("rep", "node")
-    named = reps.select("n_shingles", "h1", "h2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
-    got = sk.select("doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"], "left")
-    c = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return got.select("doc_id", "n_shingles", c.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    root = reps.join(comp.select(F.col("node").alias("rep"), F.col("component_id").alias("root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    lowest = root.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    sets = cut(root.select("n_shingles", "h1", "h2", "c", "root").join(lowest, "root").drop("root"))
+    return join_groups(sk.select("doc_id", "t", "n_shingles", "h1", "h2"), sets, ["n_shingles", "h1", "h2"], "c").select("doc_id", "t", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Texts link if 100 * intersection >= percent * union. A pair exactly at the threshold j
+    shares no band with probability (1 - j ** rows) ** bands: 3e-6 for the defaults.
+    """
+    got = classes(docs, doc_id, text, size, percent, bands, rows)
+    return got.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that are not the smallest of their component; columns unchanged."""
-    gone = near_duplicates(docs, doc_id, text, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
+    """``docs`` without the rows whose id is not the smallest of their component; columns unchanged."""
+    gone = classes(docs, doc_id, text, size, percent, bands, rows).where("doc_id != component_id").select(F.col("doc_id").alias("__gone"), F.col("t").alias("__t")).distinct()
+    return docs.join(gone, (F.col(doc_id) == F.col("__gone")) & (text_hash(text) == F.col("__t")), "left_anti")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_groups
 
 #: Hash bins of a shard's askers, of the free documents' line, and of a shard's slots. The
 #: driver and broadcasts see at most shards * ASK_BINS, LINE_BINS and shards * SLOT_BINS sums.
@@ -37,8 +37,6 @@ ASK_BINS = 64
 CELL_BINS = 16
 LINE_BINS = 4096
 SLOT_BINS = 64
-#: Groups with more than this part of all rows (one over the number) are few enough to be broadcast.
-HUB_PART = 100_000
 #: A shard counts as open while it has this part of its capacity left.
 OPEN = 0.01
 #: Free documents above these parts of a shard's capacity (one over the number) are placed before smaller ones.
@@ -168,17 +166,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """``rows`` with group_rows: how many rows share the text, null for one alone.
-
-    The largest groups, at most HUB_PART of them whatever the input, are broadcast, so that none
-    is gathered in a task; the others are joined by text.
-    """
+    """``rows`` with group_rows: how many rows share the text, null for one alone."""
     hubs = cut(rows.where("g is not null").groupBy("g").agg(F.count("*").alias("group_rows")).where("group_rows > 1"))
-    n = hubs.agg(F.sum("group_rows")).first()[0] or 0
-    large = F.col("group_rows") > n / HUB_PART
-    got = rows.join(F.broadcast(hubs.where(large)), "g", "left")
-    rest = got.where("group_rows is null").drop("group_rows").join(hubs.where(~large), "g", "left")
-    return got.where("group_rows is not null").unionByName(rest)
+    return join_groups(rows, hubs, ["g"], "group_rows")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", rounds: int = 6) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, grams, parts, rolling, ship, text_bytes
+from .common import Words, chunks, cut, grams, join_groups, parts, rolling, ship, text_bytes, text_hash
 
 
 def _window_min(g: np.ndarray, w: int) -> np.ndarray:
@@ -216,8 +216,8 @@ def repeated_spans(docs: DataFrame, width: int = 50, mer: int = 8, hot: int = 64
     ship(spark)
     marks = cut(_marks(docs.where("doc_id is not null"), width, mer))
     some = marks.where(F.size("mins") > 0)
-    firsts = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    named = some.join(firsts.withColumnRenamed("doc_id", "lowest"), "digest")
+    firsts = cut(some.groupBy("digest").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("c")).where("c > 1"))
+    named = join_groups(some, firsts, ["digest"], "c").withColumn("lowest", F.coalesce("lowest", "doc_id"))
     copies = named.where("doc_id > lowest").select("doc_id", "t").distinct().withColumn("spans", F.lit(None).cast("array<struct<a:int,b:int>>"))
     own = named.where("doc_id = lowest").select("doc_id", "t", F.explode("mins").alias("x")).select("doc_id", "t", "x.m", "x.n").distinct()
     shared = own.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("n")).where("lo < hi").select("m", ((F.col("c") > hot) | (F.col("n") > hot_windows)).alias("burns"))
@@ -246,7 +246,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, mer: int = 8, hot: int = 64
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 50, mer: int = 8, hot: int = 64, hot_windows: int = 100_000) -> DataFrame:
     """(doc_id, text: kept words joined by one space, n_words, n_removed) for every row of ``docs``."""
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text).alias("t"), F.col(text).alias("text"))
     spans = repeated_spans(d, width, mer, hot, hot_windows).withColumn("hit", F.lit(True))
 
     def run(batches):
