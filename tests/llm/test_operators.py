@@ -324,6 +324,49 @@ def test_hnsw_brute_force(spark):
     assert all(got[i]["n_links"] == 0 for i in range(900, 905)) and got[906]["component_id"] == 905
 
 
+def test_hnsw_large_and_small_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e-200, 2e-200]), (3, [1e-200, 1.01e-200]), (4, [-1e300, 1e300]), (5, [5e-324, 0.0]), (6, [1.0, 0.0]), (7, [0.0, 1e308])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least_shards=2).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_hnsw_repeated_ids(spark):
+    """Rows of one id with different vectors: each has the links of its own, also one to the other."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.05]), (3, [0.05, 1.0]), (4, [0.0, 2.0]), (5, [1.0, 1.0]), (5, [1.0, 1.01]), (5, None)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least_shards=2).collect())
+    assert got == sorted([(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 1, 5), (5, 1, 5), (5, 0, 5)])
+
+
+def test_hnsw_finds_planted_clusters(spark):
+    """12,000 vectors, shards of 2,000, clusters of 2 to 300: links and components against all pairs."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((12_000, 24))
+    at = 0
+    for size in [2] * 300 + [3] * 150 + [8] * 60 + [40] * 10 + [300]:
+        x[at : at + size] = x[at] + rng.choice([0.05, 0.2, 0.33]) * rng.standard_normal((size, 24))
+        at += size
+    x = x[rng.permutation(len(x))]
+    report: dict = {}
+    d = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = hnsw.near_vectors(d, report=report).toPandas().set_index("vec_id").loc[np.arange(len(x))]
+    n = x / np.linalg.norm(x, axis=1)[:, None]
+    want = np.zeros(len(x), int)
+    forest = hnsw.Forest()
+    for a in range(0, len(x), 1000):
+        close = n[a : a + 1000] @ n.T >= 0.9
+        for k in range(len(close)):
+            close[k, a + k] = False
+            hits = np.flatnonzero(close[k])
+            want[a + k] = len(hits)
+            forest.join(a + k, hits.tolist())
+    assert want.sum() > 10_000
+    found = got["n_links"].to_numpy()
+    assert (found <= want).all() and found.sum() >= 0.999 * want.sum()
+    assert report["links"] > 0 and report["recall"] >= 0.999
+    roots = np.array([forest.root(k) for k in range(len(x))])
+    assert (got["component_id"].to_numpy() == roots).mean() > 0.999
+
+
 def test_html():
     page = '<html><head><title>t</title><script>var x="</p>";</script></head><body><nav><a href=x>menu</a></nav><div class="cookie-notice">We use cookies</div><article><h1>Head &amp; more</h1><p>A  <b>b</b><p>c\n d</article><div id=comments><p>nice</p></div><footer>f</footer></body></html>'
     assert html.main_text(page) == "Head & more\nA b\nc d"
@@ -676,6 +719,8 @@ OPERATORS = {
     "pieces": lambda d: pieces.encode_documents(d),
     "substring": lambda d: substring.drop_repeats(d),
     "sharding": lambda d: sharding.shard_documents(d),
+    "toxicity": lambda d: toxicity.score_documents(d, toxicity.learn(d, d.select("doc_id", F.lit(1).alias("toxic")))),
+    "hnsw": lambda d: hnsw.near_vectors(d.select("doc_id", F.when(F.col("text") != "", F.array(F.lit(1.0), F.length("text").cast("double"))).alias("v")), "doc_id", "v"),
     "html": lambda d: html.extract_pages(d.withColumnRenamed("text", "html")),
 }
 

@@ -4,18 +4,25 @@ Equal vectors are one node. Nodes are dealt to shards by hash; each shard builds
 hierarchical navigable small-world graph (levels drawn from a hash, neighbours chosen for
 closeness and diversity, links both ways). Every node then queries every shard: a greedy
 descent through the levels, then a beam on the lowest one. A query whose beam is full of
-links gets a wider one until links no longer fill it. Audits compare the links of a part of
-the queries (some of those with links, some at random) with all vectors of the shard; while
-they miss more than the target allows, the beam doubles for all queries of the block, up to
-the whole shard. Links found are verified by cosine in double precision.
+links gets a wider one until links no longer fill it; a beam that would hold an eighth of the
+shard is the whole shard, by one matrix product. Links found are verified by cosine in double
+precision. Audits compare what a part of the queries found (some of those with links, some at
+random) with all vectors of the shard; while they miss more links than the target allows, the
+beam doubles for all queries of the block, up to the whole shard. An audit that sees no link
+asks for the nearest neighbours instead. What the audits saw is returned on request.
 
-A block of queries returns a count for each query and a spanning forest of its links, never
-the pairs of a large group; the forests' union is what components are made of.
+A block of queries returns a count for each query and a spanning forest of its links, made
+as they are found: never the pairs of a large group. The forests' union is what components
+are made of.
+
+Cosines are of vectors scaled by a power of two, so that large and small components neither
+over- nor underflow.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing; vectors of different length never link; equal vectors link with each
 other; rows with a null id are returned with no links, component null and kept true; rows
-that repeat an id count as vectors of their own; an empty table gives an empty result.
+that repeat an id count as vectors of their own, each with the links of its vector; an empty
+table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,25 +35,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, ship
+from .common import components, cut, join_groups, mix, ship
 
 #: Links of a node on the lowest level and above.
 LINKS_0, LINKS = 32, 16
 BLOCK = 256
+#: A beam of more than this part of a shard (one over the number) is the whole shard.
+WHOLE_SHARD = 8
+#: Nearest neighbours that audits without a link must find.
+NEAREST = 0.9
+
+
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component is between 0.5 and 1."""
+    _, e = np.frexp(np.abs(raw).max(1, initial=0.0))
+    return np.ldexp(raw, -e[:, None])
+
+
+class Forest:
+    """Disjoint sets of numbers, the smallest of a set being its root."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, a: int, others: list[int]) -> None:
+        r = self.root(a)
+        for b in others:
+            s = self.root(b)
+            if s != r:
+                r, s = min(r, s), max(r, s)
+                self.up[s] = r
 
 
 class Graph:
-    """A navigable small-world graph over the rows of ``raw`` (float64)."""
+    """A navigable small-world graph over the rows of ``raw`` (float64, scaled). tags: hashes that levels and order are drawn from."""
 
-    def __init__(self, ids: np.ndarray, raw: np.ndarray, mult: np.ndarray, build: bool = True):
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, mult: np.ndarray, tags: np.ndarray | None = None):
         self.ids, self.raw, self.mult = ids, raw, mult
         self.norm = np.sqrt((raw * raw).sum(1))
         self.x = (raw / self.norm[:, None]).astype(np.float32)
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # (nodes, links as places in nodes), lowest first
-        if build:
-            u = (mix(ids.astype(np.int64).view(np.uint64), 41) >> np.uint64(11)).astype(np.float64) / 2**53
+        if tags is not None:
+            u = (mix(tags.astype(np.int64).view(np.uint64), 41) >> np.uint64(11)).astype(np.float64) / 2**53
             level = np.floor(-np.log(np.maximum(u, 1e-300)) / math.log(LINKS)).astype(int)
-            order = np.argsort(mix(ids.astype(np.int64).view(np.uint64), 42), kind="stable")
+            order = np.argsort(mix(tags.astype(np.int64).view(np.uint64), 42), kind="stable")
             built = []
             for l in range(int(level.max(initial=0)), -1, -1):
                 nodes = order[level[order] >= l]
@@ -61,7 +101,7 @@ class Graph:
     @staticmethod
     def load(data: bytes) -> Graph:
         z = np.load(io.BytesIO(data))
-        g = Graph(z["ids"], z["raw"], z["mult"], build=False)
+        g = Graph(z["ids"], z["raw"], z["mult"])
         k = 0
         while f"n{k}" in z:
             g.levels.append((z[f"n{k}"], z[f"l{k}"]))
@@ -202,77 +242,81 @@ class Graph:
         p, s = self._beam(q, nodes, links, ef, entry)
         return np.where(p >= 0, nodes[np.maximum(p, 0)], -1), s
 
-    def links_of(self, ids: np.ndarray, raw: np.ndarray, least: float, ef: int, target: float, audits: int) -> list[np.ndarray]:
-        """For each query the places of all nodes other than itself with cosine >= least."""
+    def links_of(self, ids: np.ndarray, raw: np.ndarray, least: float, ef: int, target: float, audits: int, forest: Forest) -> tuple[np.ndarray, list[int]]:
+        """For each query (scaled) the number of vectors with cosine >= least, itself left out; links go into ``forest``.
+
+        Also what the last audits saw: how many queries, their links, and how many of these were found.
+        """
         norm = np.sqrt((raw * raw).sum(1))
         q = (raw / norm[:, None]).astype(np.float32)
         n = len(self.ids)
-        out: list[np.ndarray] = [np.zeros(0, int)] * len(q)
-        todo = np.arange(len(q))
+        count, nodes = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        best = np.full(len(q), -9.0)
+
+        def done(k: int, places: np.ndarray) -> None:
+            p = self._exact(ids[k], raw[k], norm[k], places, least)
+            count[k], nodes[k] = self.mult[p].sum(), len(p)
+            forest.join(int(ids[k]), self.ids[p].tolist())
+
         while True:
             wide = ef
-            rest = todo
+            rest = np.arange(len(q))
             while len(rest):
                 full = []
+                whole = WHOLE_SHARD * wide >= n
                 for a in range(0, len(rest), BLOCK):
                     part = rest[a : a + BLOCK]
+                    if whole:
+                        sims = q[part] @ self.x.T
+                        sims[ids[part][:, None] == self.ids[None, :]] = -9
+                        best[part] = sims.max(1, initial=-9)
+                        for k, row in zip(part, sims, strict=True):
+                            done(k, np.flatnonzero(row >= least - 1e-3))
+                        continue
                     p, s = self.search(q[part], wide)
+                    s = np.where(self.ids[np.maximum(p, 0)] == ids[part][:, None], -9, s)
+                    best[part] = s.max(1, initial=-9)
                     hit = (p >= 0) & (s >= least - 1e-3)
                     over = hit.sum(1) > wide // 2
-                    for k in np.flatnonzero(~over | (wide >= n)):
-                        out[part[k]] = self._exact(ids[part[k]], raw[part[k]], norm[part[k]], p[k][hit[k]], least)
-                    full.append(part[over & (wide < n)])
-                rest = np.concatenate(full)
+                    for k in np.flatnonzero(~over):
+                        done(part[k], p[k][hit[k]])
+                    full.append(part[over])
+                rest = np.concatenate(full) if full else np.zeros(0, int)
                 wide = min(n, 2 * wide)
-            if ef >= n or self._recall(ids, raw, norm, q, out, least, audits) >= target:
-                return out
+            seen = self._audit(ids, raw, norm, q, nodes, best, least, audits)
+            links, found, near = seen[1:]
+            good = found >= target * links if links else near >= NEAREST * seen[0]
+            if WHOLE_SHARD * ef >= n or good:
+                return count, seen[:3]
             ef = min(n, 2 * ef)
 
     def _exact(self, own: int, raw: np.ndarray, norm: float, places: np.ndarray, least: float) -> np.ndarray:
         cos = (self.raw[places] @ raw) / (self.norm[places] * norm)
         return places[(cos >= least) & (self.ids[places] != own)]
 
-    def _recall(self, ids, raw, norm, q, out, least: float, audits: int) -> float:
-        linked = np.array([k for k, o in enumerate(out) if len(o)], int)
+    def _audit(self, ids, raw, norm, q, nodes, best, least: float, audits: int) -> list[int]:
+        """Queries looked at, their links, those found, and queries whose nearest neighbour was found."""
+        linked = np.flatnonzero(nodes)
         spread = lambda a, k: a[np.linspace(0, len(a) - 1, min(len(a), k)).astype(int)] if len(a) else a
-        sample = np.unique(np.concatenate((spread(linked, audits), spread(np.arange(len(q)), 4 * audits))))
-        want = got = 0
+        sample = np.unique(np.concatenate((spread(linked, audits), spread(np.arange(len(q)), 4 * audits)))).astype(int)
+        want = got = near = 0
         for a in range(0, len(sample), BLOCK):
             part = sample[a : a + BLOCK]
-            close = q[part] @ self.x.T >= least - 1e-3
-            for k, row in zip(part, close, strict=True):
-                true = self._exact(ids[k], raw[k], norm[k], np.flatnonzero(row), least)
-                want += len(true)
-                got += len(np.intersect1d(true, out[k]))
-        return got / want if want else 1.0
-
-
-def _forest(nodes: list[int], groups: list[np.ndarray]) -> dict[int, int]:
-    """The root of each node where each of ``nodes`` is joined with its group."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        up.setdefault(x, x)
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, g in zip(nodes, groups, strict=True):
-        r = root(a)
-        for b in g.tolist():
-            s = root(b)
-            if s != r:
-                r, s = min(r, s), max(r, s)
-                up[s] = r
-    return {x: root(x) for x in up}
+            sims = q[part] @ self.x.T
+            sims[ids[part][:, None] == self.ids[None, :]] = -9
+            near += int((best[part] >= sims.max(1, initial=-9) - 1e-6).sum())
+            for k, row in zip(part, sims, strict=True):
+                want += len(self._exact(ids[k], raw[k], norm[k], np.flatnonzero(row >= least - 1e-3), least))
+                got += int(nodes[k])
+        return [len(sample), want, got, near]
 
 
-def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, shard_rows: int = 50_000, least_shards: int = 6, ef: int = 64, target: float = 0.999, audits: int = 64) -> DataFrame:
+def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, shard_rows: int = 50_000, shard_bytes: int = 64_000_000, least_shards: int = 6, ef: int = 64, target: float = 0.999, audits: int = 64, report: dict | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
-    shard_rows bounds a shard's vectors in memory; ef is the first beam; target and audits
-    are the recall asked for and the number of queries of each kind audited in a block.
+    shard_rows and shard_bytes bound a shard's vectors in memory; ef is the first beam; target
+    and audits are the recall asked for and the number of queries of each kind audited in a
+    block. ``report`` takes what the audits saw: queries, links, found, recall.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -281,21 +325,23 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     good = F.coalesce((F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     d = cut(d.select("vec_id", F.when(good & F.col("vec_id").isNotNull(), e).alias("e"), F.xxhash64(F.lit(1), e).alias("h1"), F.xxhash64(F.lit(2), e).alias("h2")))
     some = d.where("e is not null")
-    nodes = cut(some.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult"), F.min_by("e", "vec_id").alias("e")))
-    n = nodes.count()
-    shards = max(least_shards, math.ceil(n / shard_rows))
+    # a number for each distinct vector; written once and read from there
+    nodes = some.groupBy("h1", "h2").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("mult"), F.min_by("e", "vec_id").alias("e"))
+    nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
+    size = nodes.agg(F.count("*").alias("n"), F.sum(F.size("e")).alias("numbers")).first()
+    shards = max(least_shards, math.ceil(size["n"] / shard_rows), math.ceil(8 * (size["numbers"] or 0) / shard_bytes))
     splits = max(1, math.ceil(spark.sparkContext.defaultParallelism / shards))
-    pick = nodes.select("id", "mult", "e", F.size("e").alias("dim"), F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(shards)).cast("int").alias("shard"))
+    pick = nodes.select("id", "mult", "e", "h1", F.size("e").alias("dim"), F.pmod(F.xxhash64(F.lit(5), "h1", "h2"), F.lit(shards)).cast("int").alias("shard"))
 
     def build(group: pa.Table) -> pa.Table:
         raw = np.array(group.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(group.num_rows, -1)
-        g = Graph(group.column("id").to_numpy(), raw, group.column("mult").to_numpy())
+        g = Graph(group.column("id").to_numpy(), scaled(raw), group.column("mult").to_numpy(), group.column("h1").to_numpy())
         return pa.table({"dim": group.column("dim")[:1], "shard": group.column("shard")[:1], "blob": pa.array([g.dump()], pa.binary())})
 
     graphs = cut(pick.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, blob binary"))
     split = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
     left = graphs.select("dim", "shard", split.alias("split"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("e"), "blob")
-    right = nodes.select(F.size("e").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(splits)).cast("int").alias("split"), F.lit(1).alias("asks"), "id", "e", F.lit(None).cast("binary").alias("blob"))
+    right = nodes.select(F.size("e").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64(F.lit(6), "h1"), F.lit(splits)).cast("int").alias("split"), F.lit(1).alias("asks"), "id", "e", F.lit(None).cast("binary").alias("blob"))
     rows = left.unionByName(right).repartition(shards * splits, "dim", "shard", "split").sortWithinPartitions("dim", "shard", "split", "asks", "id")
 
     def ask(batches):
@@ -308,13 +354,15 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
             if g is None or not ids:
                 return None
             i, v = np.concatenate(ids), np.concatenate(vecs)
-            found = g.links_of(i, v, least, ef, target, audits)
-            count = [int(g.mult[p].sum()) for p in found]
-            roots = _forest(i.tolist(), [g.ids[p] for p in found])
+            forest = Forest()
+            count, seen = g.links_of(i, scaled(v), least, ef, target, audits, forest)
             own = set(i.tolist())
-            other = [x for x in roots if x not in own]
+            other = [x for x in forest.up if x not in own]
             a = [*i.tolist(), *other]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([roots[x] for x in a], pa.int64()), pa.array([*count, *[0] * len(other)], pa.int64())], names=["a", "b", "n"])
+            b = [forest.root(x) for x in a]
+            n = [*count.tolist(), *[0] * len(other)]
+            # the audit's row has neither node nor root
+            return pa.RecordBatch.from_arrays([pa.array([*a, None], pa.int64()), pa.array([*b, None], pa.int64()), pa.array([*n, None], pa.int64()), pa.array([*[None] * len(a), seen], pa.list_(pa.int64()))], names=["a", "b", "n", "seen"])
 
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
@@ -343,11 +391,16 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         if got := answer():
             yield got
 
-    found = cut(rows.mapInArrow(ask, "a long, b long, n long"))
-    comp = components(found.select("a", "b").where("a != b"))
+    found = cut(rows.mapInArrow(ask, "a long, b long, n long, seen array<long>"))
+    if report is not None:
+        seen = found.where("a is null").agg(*[F.coalesce(F.sum(F.get("seen", F.lit(k))), F.lit(0)) for k in range(3)]).first()
+        report.update(queries=seen[0], links=seen[1], found=seen[2], recall=seen[2] / seen[1] if seen[1] else None)
+    found = found.where("a is not null")
+    comp = components(found.select("a", "b").where("a != b")).select(F.col("node").alias("id"), F.col("component_id").alias("root"))
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    named = nodes.select("h1", "h2", "id", "mult").join(links, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("h1", "h2", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    named = nodes.select("h1", "h2", "id", "mult", "lowest").join(links, "id", "left").join(comp, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    lowest = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    named = cut(named.join(lowest, "root").select("h1", "h2", "mult", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"))
     lone = d.where("e is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    got = some.join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id").unionByName(lone)
+    got = join_groups(some.select("vec_id", "h1", "h2"), named, ["h1", "h2"], "mult").select("vec_id", "n_links", "component_id").unionByName(lone)
     return got.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
