@@ -184,9 +184,10 @@ def classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, ba
     first = some.groupBy("n_shingles", "h1", "h2").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.count("*").alias("c"), F.min("bands").alias("bands"))
     # a number for each distinct set; written once and read from there
     reps = cut(first.select("n_shingles", "h1", "h2", "c", "bands", F.col("first.doc_id").alias("lowest"), F.col("first.t").alias("t"), F.monotonically_increasing_id().alias("rep")))
-    rows_ = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    full = rows_.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).where("c > 1").drop("c")
-    member = cut(rows_.join(full, "key"))
+    rows_ = reps.select("rep", "lowest", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    # a bucket's pivot has its smallest id
+    full = rows_.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("lowest", "rep")).alias("pivot")).where("c > 1").select("key", F.col("pivot.rep").alias("pivot"))
+    member = cut(rows_.drop("lowest").join(full, "key"))
     size_ok = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     n_of = reps.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("m"))
     stars = member.where("rep != pivot").select("rep", "n", "pivot").distinct().join(n_of, "pivot").where(size_ok)
