@@ -544,13 +544,17 @@ def test_toxicity_probabilities_by_hand(spark):
 
 def test_best_windows():
     rnd = np.random.default_rng(2)
-    for n in (1, 3, 4, 5, 9, 30):
-        x = rnd.standard_normal(n)
-        means = [x[i : i + 4].sum() / 4 for i in range(n - 3)] or [x.sum() / 4]
-        i = int(np.argmax(means))
-        other = [m for j, m in enumerate(means) if abs(j - i) >= 4]
-        want = means[0] / 2 if n <= 4 else (means[i] + (max(other) if other else min(0, means[i]))) / 2
-        assert abs(toxicity.best_windows(x, 4) - want) < 1e-12
+    lens = rnd.integers(1, 31, 200)
+    x = rnd.standard_normal(lens.sum())
+    x[rnd.random(len(x)) < 0.3] = 0.5
+    for width in (1, 4, 16):
+        want = []
+        for own in np.split(x, np.cumsum(lens)[:-1]):
+            means = [own[i : i + width].sum() / width for i in range(len(own) - width + 1)] or [own.sum() / width]
+            i = int(np.argmax(np.round(means, 9)))
+            other = [m for j, m in enumerate(means) if abs(j - i) >= width]
+            want.append(means[0] / 2 if len(own) <= width else (means[i] + (max(other) if other else min(0, means[i]))) / 2)
+        assert np.allclose(toxicity.best_windows(x, lens, width), want)
 
 
 def test_toxicity_edges(spark, odd, none):
