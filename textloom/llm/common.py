@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import warnings
 import zipfile
 
@@ -67,6 +68,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, as a table in the checkpoint folder: columns of small numbers take a fraction of the space there."""
+    spark = df.sparkSession
+    durable(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 #: Groups with more than this part of all grouped rows (one over the number) are few enough to be broadcast.
 HUB_PART = 100_000
 
