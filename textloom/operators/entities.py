@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.tables import bounded
+from ..plans.tables import bounded, listed
 
 # Fixed values of the sentiment rules: negators, words that strengthen or weaken the next, contrasts.
 NEGATORS = """no not none nobody nothing neither nor nowhere never cannot cant dont doesnt didnt isnt arent wasnt werent wont
@@ -36,10 +36,15 @@ def tag(docs: DataFrame, patterns: DataFrame, longest: int, key: str = "doc_id",
     if the first token begins some pattern.
     """
     p = bounded(patterns.select("pattern", "gram"))
-    heads = bounded(patterns.select(F.substring_index("gram", " ", 1).alias("head")).distinct())
+    heads = patterns.select(F.substring_index("gram", " ", 1).alias("head")).distinct()
+    few = listed(heads, "head")
     t = docs.select(key, text.words(F.col(column)).alias("t"))
-    at = t.select(key, F.posexplode(F.transform("t", lambda x, i: F.slice(F.col("t"), i + 1, longest))).alias("start", "next"))
-    at = at.withColumn("head", F.get("next", F.lit(0))).join(heads, "head", "left_semi")
+    if few is not None:
+        starts = F.filter(F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1)), lambda i: F.get("t", i).isin(few))
+        at = t.select(key, "t", F.explode(starts).alias("start")).select(key, "start", F.slice("t", F.col("start") + 1, longest).alias("next"))
+    else:
+        at = t.select(key, F.posexplode(F.transform("t", lambda x, i: F.slice(F.col("t"), i + 1, longest))).alias("start", "next"))
+        at = at.withColumn("head", F.get("next", F.lit(0))).join(bounded(heads), "head", "left_semi")
     runs = at.select(key, "start", F.explode(F.transform(F.sequence(F.lit(1), F.size("next")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(F.col("next"), 1, n), " ").alias("gram")))).alias("x")).select(key, "start", "x.n", "x.gram")
     return runs.join(p, "gram").select(key, "pattern", "start", "n")
 
@@ -119,6 +124,28 @@ def boundaries(docs: DataFrame, rule: str, known: list[str] | None = None, key:
     return rows.select(key, "at")
 
 
+def disagreements(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, at, kind): boundaries that some splitters set and others do not, by the construction they stand in.
+
+    The word before the mark and the word after it decide: the first kind that fits holds.
+    """
+    d = docs.where(F.col(column).isNotNull()).select(key, F.split(column, r"(?U)(?<=[.!?])(?=\s)").alias("p")).where(F.size("p") > 1)
+    ends = F.aggregate("p", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    places = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(F.get("e", i).alias("at"), F.get("p", i - 1).alias("left"), F.get("p", i).alias("right")))
+    rows = d.select(key, "p", ends.alias("e")).select(key, F.explode(places).alias("x")).select(key, "x.*")
+    mark = F.right("left", F.lit(1))
+    before = F.regexp_extract("left", r"(?U)([\p{L}\p{N}']*)[.!?]$", 1)
+    first = F.regexp_extract("right", r"(?U)^\s+(\S)", 1)
+    kind = (
+        F.when(mark.isin("!", "?"), "exclamation or question").when(F.lower(before).isin(ABBREVIATIONS), "known abbreviation").when(before.rlike(r"^\p{L}$"), "single initial")
+        .when(before.rlike(r"^\p{N}+$") & first.rlike(r"^\p{N}"), "decimal or version number").when(before.rlike(r"^\p{N}+$"), "number before period").when(first == "", "end of text")
+        .when(first.rlike(r"^\p{Ll}"), "lowercase follows").when(first.isin('"', "'", "(", "["), "quote or bracket follows").when(before.rlike(r"\p{Lu}$"), "acronym").otherwise("other")
+    )
+    rules = [boundaries(docs, r, key=key, column=column).select(key, "at") for r in ("naive", "abbreviation", "conservative")]
+    votes = rules[0].unionAll(rules[1]).unionAll(rules[2]).groupBy(key, "at").agg(F.count("*").alias("votes")).where("votes < 3")
+    return rows.select(key, "at", kind.alias("kind")).join(votes.drop("votes"), [key, "at"])
+
+
 def learned_abbreviations(docs: DataFrame, least: int = 4, share: float = 0.85, column: str = "text") -> DataFrame:
     """(word, n, share) of words that a period follows nearly always."""
     rows = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit("[A-Za-z][A-Za-z']*\\.?"), F.lit(0))).alias("w"))

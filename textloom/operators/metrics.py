@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
-from ..plans.tables import bounded
+from ..plans.tables import bounded, listed
 
 
 def containing(docs: DataFrame, passages: DataFrame, qid: str = "item_id") -> DataFrame:
@@ -17,12 +17,20 @@ def containing(docs: DataFrame, passages: DataFrame, qid: str = "item_id") -> Da
     joined by equality, and the candidates are tested by the whole text.
     """
     opening = lambda c: F.array_join(F.slice(F.split(c, " "), 2, 3), " ")
-    p = passages.where(F.size(F.split("text", " ")) >= 5).select(F.col(qid).alias("qid"), F.col("text").alias("passage"), opening(F.col("text")).alias("k"))
+    p = passages.where(F.size(F.split("text", " ")) >= 5).select(F.col(qid).alias("qid"), F.col("text").alias("passage"), opening(F.col("text")).alias("k"), F.get(F.split("text", " "), F.lit(1)).alias("head"))
     # the words are a column of their own, or each step of the transform would split the text again
     d = docs.where("text is not null").select("doc_id", "text", F.split("text", " ").alias("w"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    d = d.select("doc_id", "text", F.explode(F.array_distinct(F.when(F.size("w") >= 3, runs))).alias("k"))
-    long = d.join(bounded(p), "k").where(F.contains("text", "passage")).select("qid", "doc_id")
+    run = lambda i: F.array_join(F.slice("w", i, 3), " ")
+    places = F.when(F.size("w") >= 3, F.sequence(F.lit(1), F.size("w") - 2))
+    heads, keys = listed(p, "head"), listed(p, "k")
+    if heads is not None and keys is not None:  # only places where a passage may open become rows
+        at = F.filter(places, lambda i: F.get("w", i - 1).isin(heads))
+        found = F.array_distinct(F.filter(F.transform(at, run), lambda k: k.isin(keys)))
+        both = d.select("doc_id", "text", F.explode(found).alias("k")).join(bounded(p), "k")
+    else:  # ids alone are joined, then texts are fetched
+        pairs = d.select("doc_id", F.explode(F.array_distinct(F.transform(places, run))).alias("k")).join(p.select("qid", "k"), "k").select("doc_id", "qid").distinct()
+        both = pairs.join(d.select("doc_id", "text"), "doc_id").join(p.select("qid", "passage"), "qid")
+    long = both.where(F.contains("text", "passage")).select("qid", "doc_id")
     short = passages.where(F.size(F.split("text", " ")) < 5).select(F.col(qid).alias("qid"), F.col("text").alias("passage"))
     few = docs.where("text is not null").select("doc_id", "text").join(bounded(short), F.contains("text", "passage")).select("qid", "doc_id")
     return long.unionByName(few).distinct()

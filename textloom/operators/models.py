@@ -69,21 +69,58 @@ def burrows_delta(train: DataFrame, test: DataFrame, features: list[str], key: s
     return d.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, F.col("label").alias("predicted"))
 
 
+#: Places of a text that gram order tells apart.
+PLACES = 10**9
+
+
+def counted_grams(docs: DataFrame, by: list[str], column: str = "text", longest: int = 5) -> DataFrame:
+    """(by..., gram, cnt, first): character n-grams of the texts padded with an underscore on either side.
+
+    ``first`` orders by n, then place; the least of all texts counts. A text's grams are counted
+    before they become rows: an exploded row for each would be ``longest`` times the text's length.
+    """
+    kinds = dict(docs.select(*by).dtypes)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            seen: dict[tuple, dict[str, list[int]]] = {}
+            for *key, t in zip(*(b.column(k).to_pylist() for k in range(len(by) + 1)), strict=True):
+                own = seen.setdefault(tuple(key), {})
+                s = f"_{t or ''}_"
+                for n in range(1, longest + 1):
+                    for i in range(len(s) - n + 1):
+                        g = own.get(s[i : i + n])
+                        if g is None:
+                            own[s[i : i + n]] = [1, n * PLACES + i + 1]
+                        else:
+                            g[0] += 1
+                            if n * PLACES + i + 1 < g[1]:
+                                g[1] = n * PLACES + i + 1
+            rows = [(*key, g, *x) for key, own in seen.items() for g, x in own.items()]
+            cols = list(zip(*rows, strict=True)) or [()] * (len(by) + 3)
+            schema = [*(b.schema.field(k).type for k in range(len(by))), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, schema, strict=True)], names=[*by, "gram", "cnt", "first"])
+
+    got = docs.select(*by, column).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "gram string, cnt long, first long"]))
+    return got.groupBy(*by, "gram").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
+
+
 def top_grams(grams: DataFrame, by: list[str], most: int = 400) -> DataFrame:
-    """grams: (by..., gram, place). The most frequent grams with rank from 0; ties by first place."""
-    n = grams.groupBy(*by, "gram").agg(F.count("*").alias("cnt"), F.min("place").alias("first"))
+    """grams: (by..., gram, cnt, first). The most frequent grams with rank from 0; ties by first place."""
     w = W.partitionBy(*by).orderBy(F.col("cnt").desc(), "first", "gram")
-    return n.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < most)
+    return grams.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < most)
 
 
-def out_of_place(profiles: DataFrame, texts: DataFrame, key: str, most: int = 400) -> DataFrame:
-    """Distance of texts' gram ranks to class profiles: (key, predicted). An unseen gram costs ``most``."""
+def out_of_place(profiles: DataFrame, texts: DataFrame, key: list[str], most: int = 400) -> DataFrame:
+    """Distance of texts' gram ranks to class profiles: (key..., predicted). An unseen gram costs ``most``."""
     classes = bounded(profiles.select("label").distinct())
-    hits = texts.join(bounded(profiles.select("label", "gram", F.col("rank").alias("p")), 100_000), "gram").groupBy(key, "label").agg(F.sum(F.abs(F.col("rank") - F.col("p")) - most).alias("d"))
-    total = texts.groupBy(key).agg(F.count("*").alias("n")).crossJoin(classes)
-    s = total.join(hits, [key, "label"], "left").withColumn("d", F.col("n") * most + F.coalesce("d", F.lit(0)))
-    w = W.partitionBy(key).orderBy("d", "label")
-    return s.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, F.col("label").alias("predicted"))
+    hits = texts.join(bounded(profiles.select("label", "gram", F.col("rank").alias("p")), 100_000), "gram").groupBy(*key, "label").agg(F.sum(F.abs(F.col("rank") - F.col("p")) - most).alias("d"))
+    total = texts.groupBy(*key).agg(F.count("*").alias("n")).crossJoin(classes)
+    s = total.join(hits, [*key, "label"], "left").withColumn("d", F.col("n") * most + F.coalesce("d", F.lit(0)))
+    w = W.partitionBy(*key).orderBy("d", "label")
+    return s.withColumn("r", F.row_number().over(w)).where("r = 1").select(*key, F.col("label").alias("predicted"))
 
 
 def cooccurrence(stream: DataFrame, window: int = 5, dynamic: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.tables import bounded, cut, lengths, postings
+from ..plans.tables import bounded, cut, lengths, listed, postings
 
 K1, B = 1.5, 0.75
 TFS, DFS, NORMS = "nlabL", "ntp", "ncu"
@@ -33,9 +33,12 @@ def _query_terms(queries: DataFrame, qid: str, column: str, tokenize) -> DataFra
 
 def _matching(docs: DataFrame, terms: DataFrame, tokenize) -> DataFrame:
     """Postings of the documents for the given terms only: (doc_id, token, tf)."""
-    vocabulary = bounded(terms.select("token").distinct())
-    rows = docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("token"))
-    return rows.join(vocabulary, "token", "left_semi").groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    few = listed(terms, "token")
+    if few is not None:  # left out before they become rows
+        rows = docs.select("doc_id", F.explode(F.filter(tokenize(F.col("text")), lambda t: t.isin(few))).alias("token"))
+    else:
+        rows = docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("token")).join(bounded(terms.select("token").distinct()), "token", "left_semi")
+    return rows.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
 def bm25_terms(post: DataFrame, size: DataFrame) -> DataFrame:

@@ -161,12 +161,11 @@ def goodness_of_fit(counts: DataFrame, refits: int = 100, seed: int = 3) -> Data
     import numpy as np
     import pandas as pd
 
-    best = x_min_scan(counts).orderBy("ks").first()
-    if best is None:
-        raise ValueError("too few types to fit a power law")
     table = counts.groupBy("cnt").agg(F.count("*").alias("n")).orderBy("cnt").collect()  # distinct counts only
     xs, ns = np.array([r["cnt"] for r in table], float), np.array([r["n"] for r in table], int)
-    x0, gamma, observed = best["x_min"], best["gamma"], best["ks"]
+    observed, x0, gamma = fit_ks(xs, ns)  # the same candidates for the data and for each resample
+    if not math.isfinite(observed):
+        raise ValueError("too few types to fit a power law")
 
     def run(frames):
         for f in frames:
@@ -178,7 +177,7 @@ def goodness_of_fit(counts: DataFrame, refits: int = 100, seed: int = 3) -> Data
                 k = rng.binomial(total, ns[~below].sum() / total)
                 body = rng.choice(xs[below], total - k, p=ns[below] / ns[below].sum()) if below.any() and total > k else np.zeros(0)
                 tail = np.floor((x0 - 0.5) * (1 - rng.random(k)) ** (-1 / (gamma - 1)) + 0.5)
-                out.append(fit_ks(np.concatenate((body, tail))))
+                out.append(fit_ks(*np.unique(np.concatenate((body, tail)), return_counts=True))[0])
             yield pd.DataFrame({"ks": out})
 
     sims = counts.sparkSession.range(refits, numPartitions=min(refits, 32)).mapInPandas(run, "ks double")
@@ -186,15 +185,14 @@ def goodness_of_fit(counts: DataFrame, refits: int = 100, seed: int = 3) -> Data
     return got.select(F.lit(int(x0)).alias("x_min"), F.lit(float(gamma)).alias("gamma"), F.lit(float(observed)).alias("ks"), "p", (F.col("p") >= 0.1).alias("plausible"))
 
 
-def fit_ks(values, least_tail: int = 50, most: int = 60) -> float:
-    """The least KS distance over candidates for x_min, of one sample (NumPy)."""
+def fit_ks(x, n, least_tail: int = 50, most: int = 400) -> tuple[float, float, float]:
+    """(ks, x_min, gamma) with the least KS distance over candidates for x_min, of values x that occur n times (NumPy)."""
     import numpy as np
 
-    x, n = np.unique(values, return_counts=True)
     tails = n[::-1].cumsum()[::-1]
     at = np.flatnonzero(tails >= least_tail)
     at = np.unique(at[np.unique(np.geomspace(1, len(at), min(most, len(at))).astype(int)) - 1]) if len(at) else at
-    best = math.inf
+    best = (math.inf, math.nan, math.nan)
     for i in at:
         v, m, t = x[i:], n[i:], tails[i]
         g = 1 + t / (m * np.log(v / (x[i] - 0.5))).sum()
@@ -204,8 +202,9 @@ def fit_ks(values, least_tail: int = 50, most: int = 60) -> float:
         z0 = _zeta(g, np.array([x[i]]))[0]
         cum = m.cumsum() / t
         lo, hi = 1 - z[: len(v)] / z0, 1 - z[len(v) :] / z0
-        best = min(best, max(np.abs(cum - hi).max(), np.abs(np.concatenate(([0.0], cum[:-1])) - lo).max()))
-    return float(best)
+        ks = max(np.abs(cum - hi).max(), np.abs(np.concatenate(([0.0], cum[:-1])) - lo).max())
+        best = min(best, (float(ks), float(x[i]), float(g)))
+    return best
 
 
 def _zeta(s: float, q):

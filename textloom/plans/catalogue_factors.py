@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
 from pyspark.sql import Window as W
@@ -132,19 +133,27 @@ def langid_compression(spark, sf):
     return best.groupBy("truth", "predicted").agg(F.count("*").alias("n"))
 
 
+RESAMPLES = 1000
+
+
 @query("spread_bootstrap")
 def spread_bootstrap(spark, sf):
-    """Whether the choice of lexicon or of rules moves accuracy more: resampled difference of spreads."""
+    """Whether the choice of lexicon or of rules moves accuracy more: resampled difference of spreads.
+
+    The tables hold no sentiment labels; whether a turn is the assistant's is what is predicted.
+    """
     truth = read(spark, sf, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("y"))
     cells = None
     for ln, lex in (("first", LEXICON), ("second", OTHER)):
         for rule in ("bag", "negation", "intensifier", "contrastive"):
             one = _sentiments(spark, sf, rule, lex).join(truth, ["conv_id", "turn"]).select("conv_id", "turn", F.lit(ln).alias("lexicon"), F.lit(rule).alias("rule"), ((F.col("score") > 0) == F.col("y")).cast("double").alias("ok"))
             cells = one if cells is None else cells.unionByName(one)
-    # a resample weighs each conversation by a Poisson count from a hash, so that rows need no numbering
-    u = uniform(17, "b", "conv_id")
-    weight = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.9196986, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
-    per = cut(cells).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(100)))).withColumn("w", weight).groupBy("b", "lexicon", "rule").agg((F.sum(F.col("ok") * F.col("w")) / F.sum("w")).alias("acc"))
+    # a resample weighs each conversation by a Poisson count (of mean 1, from a hash of 32 bits), so that rows need no numbering
+    below = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
+    weight = F.size(F.filter(F.array(*[F.lit(c) for c in below]), lambda c: c <= F.col("u")))
+    per = cut(cells.groupBy("conv_id", "lexicon", "rule").agg(F.sum("ok").alias("ok"), F.count("*").alias("n")))
+    drawn = per.select("conv_id").distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(RESAMPLES)))).withColumn("u", uniform(17, "b", "conv_id")).withColumn("w", weight).where("w > 0")
+    per = drawn.join(per, "conv_id").groupBy("b", "lexicon", "rule").agg((F.sum(F.col("ok") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("acc"))
     a = per.groupBy("b", "rule").agg((F.max("acc") - F.min("acc")).alias("s")).groupBy("b").agg(F.max("s").alias("lexicons"))
     r = per.groupBy("b", "lexicon").agg((F.max("acc") - F.min("acc")).alias("s")).groupBy("b").agg(F.max("s").alias("rules"))
     x = a.join(r, "b").withColumn("d", F.col("lexicons") - F.col("rules"))

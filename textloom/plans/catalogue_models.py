@@ -64,71 +64,57 @@ def burrows_delta(spark, sf):
     return _accuracy(models.burrows_delta(train, rows.where("test").drop("test", "label"), top), docs.where("test").select("doc_id", "label"))
 
 
-LENGTHS = (20, 80)
-
-
-def _grams_sql(chars):
-    return f"SELECT doc_id, label, test, substr(s, i, n) AS gram, n * 1000000 + i AS place FROM (SELECT doc_id, lang AS label, {uniform_sql(33, 'doc_id')} < {SPLIT} AS test, '_' || substr(coalesce(text, ''), 1, {chars}) || '_' AS s FROM documents) q, unnest([1, 2, 3, 4, 5]) AS a(n), unnest(range(1, length(s) - n + 2)) AS b(i)"
-
-
-def _langid_sql(method):
-    out = []
-    for c in LENGTHS:
-        if method == "cavnar":
-            out.append(f"""SELECT * FROM (WITH g AS ({_grams_sql(c)}), gt AS ({_grams_sql(200)}),
-pf AS (SELECT label, gram, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, min(place), gram) - 1 AS r FROM gt WHERE NOT test GROUP BY label, gram QUALIFY r < 400),
-tx AS (SELECT doc_id, any_value(label) AS truth, gram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(place), gram) - 1 AS r FROM g WHERE test GROUP BY doc_id, gram QUALIFY r < 400),
-d AS (SELECT doc_id, any_value(truth) AS truth, l.label, sum(coalesce(abs(tx.r - pf.r), 400)) AS d FROM tx CROSS JOIN (SELECT DISTINCT label FROM pf) l LEFT JOIN pf ON pf.label = l.label AND pf.gram = tx.gram GROUP BY doc_id, l.label),
-p AS (SELECT doc_id, truth, label FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d, label) = 1) SELECT {c}::BIGINT AS length, truth, label AS predicted, count(*) AS n FROM p GROUP BY truth, label)""")
-        else:
-            out.append(f"""SELECT * FROM (WITH g AS ({_grams_sql(c)}), gt AS ({_grams_sql(200)}), cn AS (SELECT label, gram, count(*)::DOUBLE AS c FROM gt WHERE NOT test GROUP BY label, gram), vv AS (SELECT count(DISTINCT gram)::DOUBLE AS v FROM cn), tc AS (SELECT label, sum(c) AS nc FROM cn GROUP BY label),
-tx AS (SELECT doc_id, any_value(label) AS truth, gram, count(*)::DOUBLE AS tf FROM g WHERE test GROUP BY doc_id, gram),
-d AS (SELECT doc_id, any_value(truth) AS truth, tc.label, sum(tf * ln((coalesce(c, 0) + 0.1) / (nc + 0.1 * v))) AS s FROM tx CROSS JOIN tc CROSS JOIN vv LEFT JOIN cn ON cn.label = tc.label AND cn.gram = tx.gram GROUP BY doc_id, tc.label),
-p AS (SELECT doc_id, truth, label FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, label) = 1) SELECT {c}::BIGINT AS length, round(avg((truth = label)::INT), 6) AS accuracy, count(*) AS n FROM p)""")
-    return " UNION ALL ".join(out)
-
-
-def _grams(docs, chars):
-    padded = docs.select("doc_id", "label", "test", text.char_ngrams(F.substring(F.coalesce("text", F.lit("")), 1, chars)).alias("g"))
-    return padded.select("doc_id", "label", "test", F.posexplode("g").alias("place", "gram"))
+LENGTHS = (10, 20, 40, 80, 160, 320, 640)
+_PADDED = f"SELECT doc_id, lang AS label, {uniform_sql(33, 'doc_id')} < {SPLIT} AS test, coalesce(text, '') AS text FROM documents"
+_GRAMS = """SELECT {by}, gram, count(*) AS c, min(place) AS place FROM (SELECT {by}, unnest([c1, c1 || c2, c1 || c2 || c3, c1 || c2 || c3 || c4, c1 || c2 || c3 || c4 || c5]) AS gram, unnest([1, 2, 3, 4, 5])::BIGINT * 1000000000 + i AS place
+  FROM (SELECT {by}, i, c1, lead(c1, 1) OVER x AS c2, lead(c1, 2) OVER x AS c3, lead(c1, 3) OVER x AS c4, lead(c1, 4) OVER x AS c5
+    FROM (SELECT {by}, doc_id AS d, unnest(s) AS c1, generate_subscripts(s, 1) AS i FROM (SELECT *, string_split('_' || text || '_', '') AS s FROM ({rows}))) WINDOW x AS (PARTITION BY {by}, d ORDER BY i))) WHERE gram IS NOT NULL GROUP BY {by}, gram"""
+_LENGTHS_SQL = "SELECT doc_id, label, length, substr(text, 1, length) AS text FROM pd, unnest([" + ", ".join(map(str, LENGTHS)) + "]) AS l(length) WHERE test"
+LANGID = f"pd AS ({_PADDED}), gt AS ({_GRAMS.format(by='label', rows='SELECT * FROM pd WHERE NOT test')}), g AS ({_GRAMS.format(by='length, doc_id, label', rows=_LENGTHS_SQL)})"
 
 
 def _langs(spark, sf):
-    """Documents' languages, with a part held out; profiles from the first 200 characters, a parameter of the study."""
+    """Documents' languages, with a part held out; profiles are learnt from whole texts, each padded on its own."""
     return read(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label")).withColumn("test", uniform(33, "doc_id") < SPLIT)
 
 
-@query("langid_cavnar", _langid_sql("cavnar"))
+def _opened(d):
+    """Test texts at all lengths at once: (length, doc_id, label, text), the first characters of each; shorter ones whole."""
+    return d.where("test").withColumn("length", F.explode(F.array(*[F.lit(c) for c in LENGTHS]))).select("length", "doc_id", "label", F.substring(F.coalesce("text", F.lit("")), F.lit(1), F.col("length")).alias("text"))
+
+
+@query("langid_cavnar", f"""WITH {LANGID},
+pf AS (SELECT label, gram, row_number() OVER (PARTITION BY label ORDER BY c DESC, place, gram) - 1 AS r FROM gt QUALIFY r < 400),
+tx AS (SELECT length, doc_id, label AS truth, gram, row_number() OVER (PARTITION BY length, doc_id ORDER BY c DESC, place, gram) - 1 AS r FROM g QUALIFY r < 400),
+d AS (SELECT length, doc_id, any_value(truth) AS truth, l.label, sum(coalesce(abs(tx.r - pf.r), 400)) AS d FROM tx CROSS JOIN (SELECT DISTINCT label FROM pf) l LEFT JOIN pf ON pf.label = l.label AND pf.gram = tx.gram GROUP BY length, doc_id, l.label),
+p AS (SELECT length, doc_id, truth, label FROM d QUALIFY row_number() OVER (PARTITION BY length, doc_id ORDER BY d, label) = 1) SELECT length::BIGINT AS length, truth, label AS predicted, count(*) AS n FROM p GROUP BY length, truth, label""")
 def langid_cavnar(spark, sf):
-    """Confusion of languages by gram ranks, at two text lengths."""
+    """Confusion of languages by gram ranks, at seven text lengths."""
     d = _langs(spark, sf)
-    profiles = cut(models.top_grams(_grams(d.where("not test"), 200), ["label"]))
-    got = None
-    for c in LENGTHS:
-        pred = models.out_of_place(profiles, models.top_grams(_grams(d.where("test"), c), ["doc_id"]), "doc_id")
-        one = d.where("test").select("doc_id", F.col("label").alias("truth")).join(pred, "doc_id").groupBy("truth", "predicted").agg(F.count("*").alias("n")).select(F.lit(c).alias("length"), "truth", "predicted", "n")
-        got = one if got is None else got.unionByName(one)
-    return got
+    profiles = cut(models.top_grams(models.counted_grams(d.where("not test"), ["label"]), ["label"]))
+    texts = models.top_grams(models.counted_grams(_opened(d), ["length", "doc_id"]), ["length", "doc_id"])
+    pred = models.out_of_place(profiles, cut(texts), ["length", "doc_id"])
+    return d.where("test").select("doc_id", F.col("label").alias("truth")).join(pred, "doc_id").groupBy("length", "truth", "predicted").agg(F.count("*").alias("n"))
 
 
-@query("langid_nb", _langid_sql("nb"))
+@query("langid_nb", f"""WITH {LANGID}, vv AS (SELECT count(DISTINCT gram)::DOUBLE AS v FROM gt), tc AS (SELECT label, sum(c)::DOUBLE AS nc FROM gt GROUP BY label),
+d AS (SELECT length, doc_id, any_value(g.label) AS truth, tc.label, sum(g.c * ln((coalesce(gt.c, 0) + 0.1) / (nc + 0.1 * v))) AS s FROM g CROSS JOIN tc CROSS JOIN vv LEFT JOIN gt ON gt.label = tc.label AND gt.gram = g.gram GROUP BY length, doc_id, tc.label),
+p AS (SELECT length, doc_id, truth, label FROM d QUALIFY row_number() OVER (PARTITION BY length, doc_id ORDER BY round(s, 9) DESC, label) = 1) SELECT length::BIGINT AS length, round(avg((truth = label)::INT), 6) AS accuracy, count(*) AS n FROM p GROUP BY length""")
 def langid_nb(spark, sf):
     """Accuracy of naive Bayes over character n-grams; unseen grams count, over the joint vocabulary."""
     d = _langs(spark, sf)
-    train = cut(_grams(d.where("not test"), 200).groupBy("label", "gram").agg(F.count("*").cast("double").alias("c")))
+    train = cut(models.counted_grams(d.where("not test"), ["label"]).select("label", "gram", F.col("cnt").cast("double").alias("c")))
     v = F.lit(float(train.select("gram").distinct().count()))
     per = bounded(train.groupBy("label").agg(F.sum("c").alias("nc")))
-    got = None
-    for c in LENGTHS:
-        tf = _grams(d.where("test"), c).groupBy("doc_id", "gram").agg(F.count("*").cast("double").alias("tf"))
-        n = tf.groupBy("doc_id").agg(F.sum("tf").alias("n")).crossJoin(per)
-        extra = tf.join(bounded(train, 500_000), "gram").groupBy("doc_id", "label").agg(F.sum(F.col("tf") * F.log((F.col("c") + 0.1) / 0.1)).alias("x"))
-        s = n.join(extra, ["doc_id", "label"], "left").withColumn("s", F.coalesce("x", F.lit(0.0)) + F.col("n") * F.log(0.1 / (F.col("nc") + 0.1 * v)))
-        w = W.partitionBy("doc_id").orderBy(F.round("s", 9).desc(), "label")
-        p = s.withColumn("r", F.row_number().over(w)).where("r = 1").select("doc_id", F.col("label").alias("predicted"))
-        one = _accuracy(p, d.where("test").select("doc_id", "label")).select(F.lit(c).alias("length"), "accuracy", "n")
-        got = one if got is None else got.unionByName(one)
-    return got
+    tf = cut(models.counted_grams(_opened(d), ["length", "doc_id"]))
+    key = ["length", "doc_id"]
+    n = tf.groupBy(*key).agg(F.sum("cnt").alias("n")).crossJoin(per)
+    extra = tf.join(bounded(train, 500_000), "gram").groupBy(*key, "label").agg(F.sum(F.col("cnt") * F.log((F.col("c") + 0.1) / 0.1)).alias("x"))
+    s = n.join(extra, [*key, "label"], "left").withColumn("s", F.coalesce("x", F.lit(0.0)) + F.col("n") * F.log(0.1 / (F.col("nc") + 0.1 * v)))
+    w = W.partitionBy(*key).orderBy(F.round("s", 9).desc(), "label")
+    p = s.withColumn("r", F.row_number().over(w)).where("r = 1").select(*key, F.col("label").alias("predicted"))
+    got = d.where("test").select("doc_id", "label").join(p, "doc_id").groupBy("length")
+    return got.agg(F.round(F.avg((F.col("label") == F.col("predicted")).cast("double")), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
 @query("ncd_gzip_matrix")
@@ -314,6 +300,18 @@ def split_agreement(spark, sf):
     return entities.matched(entities.boundaries(docs, "naive"), wanted).select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+_KIND = r"""CASE WHEN m IN ('!', '?') THEN 'exclamation or question' WHEN list_contains(ABBR, lower(w)) THEN 'known abbreviation' WHEN regexp_matches(w, '^\p{L}$') THEN 'single initial'
+WHEN regexp_matches(w, '^\p{N}+$') AND regexp_matches(f, '^\p{N}') THEN 'decimal or version number' WHEN regexp_matches(w, '^\p{N}+$') THEN 'number before period' WHEN f = '' THEN 'end of text'
+WHEN regexp_matches(f, '^\p{Ll}') THEN 'lowercase follows' WHEN f IN ('"', '''', '(', '[') THEN 'quote or bracket follows' WHEN regexp_matches(w, '\p{Lu}$') THEN 'acronym' ELSE 'other' END""".replace("ABBR", _sql_list(entities.ABBREVIATIONS))
+_SPLIT_SQL = _CH + r""", x AS (SELECT doc_id, p, l[-1:] AS m, regexp_extract(l[-60:], '([\p{L}\p{N}'']*)[.!?]$', 1) AS w, regexp_extract(r, '^[\s\x{b}\x{a0}]+(\S)', 1) AS f, """
+
+
+@query("split_disagreements", f"WITH {_SPLIT_SQL}{_SPLITS['abbreviation']} AS a, {_SPLITS['conservative']} AS c FROM bo) SELECT {_KIND} AS kind, count(*) AS n FROM x WHERE NOT (a AND c) GROUP BY ALL")
+def split_disagreements(spark, sf):
+    """How often each construction stands where the splitters disagree."""
+    return entities.disagreements(read(spark, sf, "documents")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 TAGGED = [("d1", 0, i, lemma, "n", s, w) for i, (lemma, s, w) in enumerate([("bank", 1, "bank"), ("money", 1, "money"), ("loan", 1, "loan")])] + [("d1", 1, i, lemma, "n", s, w) for i, (lemma, s, w) in enumerate([("river", 1, "river"), ("bank", 2, "bank"), ("water", 1, "water")])] + [("d2", 0, i, lemma, "n", s, w) for i, (lemma, s, w) in enumerate([("bank", 1, "banks"), ("loan", 1, "loans"), ("money", 1, "money")])] + [("d3", 0, i, lemma, "n", s, w) for i, (lemma, s, w) in enumerate([("water", 1, "water"), ("bank", 2, "bank"), ("river", 1, "river")])] + [("d3", 1, 0, "dog", "n", 1, "dog"), ("d3", 1, 1, "bank", "n", 1, "bank"), ("d3", 1, 2, "money", "n", 1, "money")]
 GLOSSES = [("bank", "n", 1, "an institution that lends money as a loan"), ("bank", "n", 2, "sloping land beside a river or other water")]
 _VALUES = "tg AS (SELECT * FROM (VALUES " + ", ".join(repr(r) for r in TAGGED) + ") t(document, sent, place, lemma, pos, sense, surface)), tr AS (SELECT * FROM tg WHERE document <> 'd3'), te AS (SELECT * FROM tg WHERE document = 'd3'), mf AS (SELECT lemma, pos, sense AS mfs FROM tr GROUP BY lemma, pos, sense QUALIFY row_number() OVER (PARTITION BY lemma, pos ORDER BY count(*) DESC, sense) = 1)"

@@ -45,6 +45,12 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def listed(df: DataFrame, column: str, most: int = 10_000) -> list | None:
+    """The distinct values of a column if there are at most ``most``, for a test inside an expression; else None."""
+    got = df.select(column).distinct().limit(most + 1).collect()
+    return [r[0] for r in got] if len(got) <= most else None
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the cluster's folder (a temporary one where none is set)."""
     sc = df.sparkSession.sparkContext
