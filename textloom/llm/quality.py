@@ -111,14 +111,14 @@ def default_rules(of: dict[str, Column] | None = None, text: str = "text") -> li
 def measured_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 17, runs: int = 3) -> list[Rule]:
     """``rules`` by rejections per second on at most about ``sample_rows`` rows of ``docs``, best first.
 
-    The sample is one partition, so that a run's time is the rule's and not the scheduler's.
+    The sample is brought into one partition, so that a run's time is the rule's and not the scheduler's.
     The first run of each rule warms it up and gives its rejections; of the others the
     fastest counts. A rule that rejects nothing goes last, the cheaper one first.
     """
     n = docs.count()
     if not n:
         return rules
-    sample = (docs if n <= sample_rows else docs.sample(fraction=sample_rows / n, seed=seed)).coalesce(1).persist()
+    sample = (docs if n <= sample_rows else docs.sample(fraction=sample_rows / n, seed=seed)).repartition(1).persist()
 
     def timed(what: Column) -> tuple[float, int]:
         hits, best = sample.agg(F.count_if(what)).first()[0], float("inf")
