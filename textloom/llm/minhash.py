@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HUB_PART, Words, chunks, components, cut, grams, join_groups, mix, ship, small, text_bytes, text_hash
+from .common import HUB_PART, Words, chunks, components, cut, grams, join_groups, mix, ship, small, text_bytes, text_hash, written
 
 #: Ids of documents that share a bucket are broadcast up to this many (16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -187,14 +187,14 @@ def classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, ba
     rows_ = reps.select("rep", "lowest", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     # a bucket's pivot has its smallest id
     full = rows_.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("lowest", "rep")).alias("pivot")).where("c > 1").select("key", F.col("pivot.rep").alias("pivot"))
-    member = cut(rows_.drop("lowest").join(full, "key"))
+    member = written(rows_.drop("lowest").join(full, "key"))
     size_ok = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     n_of = reps.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("m"))
     stars = member.where("rep != pivot").select("rep", "n", "pivot").distinct().join(n_of, "pivot").where(size_ok)
     tested = stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     ids = cut(member.select("rep").distinct().join(reps.select("rep", F.col("lowest").alias("i"), F.col("t").alias("h")), "rep"))
     named = d.join(small(ids, BROADCAST_IDS), (F.col("doc_id") == F.col("i")) & (F.col("t") == F.col("h")))
-    texts = cut(named.select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
+    texts = written(named.select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
     similar = f"100 * same >= {percent} * (na + nb - same)"
     tested = cut(_overlaps(tested, texts, size))
     links = tested.where(similar).select("a", "b")
@@ -207,7 +207,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, ba
     lone = _lone(texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"), size)
     rest = rest.join(seen, ["pivot", "rep"], "left").join(lone, "rep", "left").select(
         "key", "rep", "n", "comp", F.when(F.col("rep") == F.col("pivot"), 0).otherwise(F.col("x")).alias("x"), F.when(F.col("rep") == F.col("pivot"), 0).otherwise(F.col("y")).alias("y"), F.coalesce("u", F.lit(0)).alias("u"))
-    rest = cut(rest.join(reps.select("rep", "bands"), "rep"))
+    rest = written(rest.join(reps.select("rep", "bands"), "rep"))
     other = rest.select("key", F.col("rep").alias("b"), F.col("bands").alias("bands2"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("u").alias("u2"))
     # each pair is looked at in one of the buckets that it shares;
     # two sets differ in at least this many shingles: those that only one has at all, and what they differ by from the pivot
