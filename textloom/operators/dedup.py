@@ -6,6 +6,7 @@ The signature's 128 linear hashes modulo 2**31 - 1 have coefficients from hashes
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -88,11 +89,7 @@ def same_form(docs: DataFrame, form, key: str = "doc_id", column: str = "text")
 
 
 def sampled_pairs(docs: DataFrame, n: int = 400, seed: int = 4, key: str = "doc_id") -> DataFrame:
-    """Random pairs a < b by hash: each of n draws takes the rows nearest to two hashed ranks."""
-    ids = docs.select(key).distinct()
-    count = ids.count()
-    at = ids.select(F.col(key), (F.floor(uniform(seed, key) * max(count, 1))).alias("slot"))
-    first = at.groupBy("slot").agg(F.min(key).alias(key))
-    draws = docs.sparkSession.range(n).select(F.floor(uniform(seed + 1, "id") * count).alias("x"), F.floor(uniform(seed + 2, "id") * count).alias("y"))
-    got = F.broadcast(draws).join(first.select(F.col("slot").alias("x"), F.col(key).alias("p")), "x").join(first.select(F.col("slot").alias("y"), F.col(key).alias("q")), "y")
-    return got.where("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    """(a, b), a < b: n random pairs of distinct rows; fewer where there are not 2 * n rows. The 2 * n first rows by hash are paired in that order."""
+    first = docs.select(key).orderBy(uniform(seed, key), key).limit(2 * n)  # 2 * n ids, a parameter
+    at = first.withColumn("r", F.row_number().over(W.orderBy(uniform(seed, key), key)) - 1)
+    return at.groupBy(F.floor(F.col("r") / 2)).agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a < b").select("a", "b")

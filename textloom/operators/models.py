@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rng import uniform
 from ..plans.tables import bounded, cut
 
 
@@ -141,8 +142,23 @@ def pmi(pairs: DataFrame, alpha: float = 1.0, k: float = 1.0, positive: bool = T
     return got.where("value != 0 and not isnan(value)")
 
 
-def word_vectors(weights: DataFrame, size: int, dims: int = 50, p: float = 0.5, rounds: int = 4, seed: int = 1) -> DataFrame:
-    """(id, vec) from a weighted size x size matrix by randomised SVD: U * S ** p.
+def exact_singular_values(weights: DataFrame, size: int, dims: int = 50, most: int = 5000) -> list[float]:
+    """The largest singular values of a weighted size x size matrix, without random projection: what ``word_vectors`` is measured against.
+
+    The matrix is put together on the driver, so a vocabulary of more than ``most`` words is an error.
+    """
+    import numpy as np
+
+    if size > most:
+        raise ValueError(f"{size} words: an exact decomposition takes {most} at most")
+    m = np.zeros((size, size))
+    for r in weights.select("w", "c", "value").toLocalIterator():
+        m[r["w"], r["c"]] = r["value"]
+    return [float(x) for x in np.linalg.svd(m, compute_uv=False)[: min(dims, size - 1)]]
+
+
+def word_vectors(weights: DataFrame, size: int, dims: int = 50, p: float = 0.5, rounds: int = 4, seed: int = 1, context: bool = False) -> DataFrame:
+    """(id, vec) from a weighted size x size matrix by randomised SVD: U * S ** p, with ``context`` plus V * S ** p.
 
     The matrix stays distributed; a pass multiplies it with a thin block, whose rows (size x
     (dims + 10) numbers, size being a bounded vocabulary) are orthonormalised on the driver.
@@ -178,8 +194,8 @@ def word_vectors(weights: DataFrame, size: int, dims: int = 50, p: float = 0.5,
     for _ in range(rounds):
         z, _ = np.linalg.qr(times(q, True))
         q, _ = np.linalg.qr(times(z, False))
-    u, s, _ = np.linalg.svd(times(q, True).T, full_matrices=False)
-    vecs = (q @ u)[:, :dims] * s[:dims] ** p
+    u, s, v = np.linalg.svd(times(q, True).T, full_matrices=False)
+    vecs = (q @ u)[:, :dims] * s[:dims] ** p + (v.T[:, :dims] * s[:dims] ** p if context else 0.0)
     return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
 
 
@@ -239,6 +255,37 @@ def ncd(pairs: DataFrame, name: str = "gzip") -> DataFrame:
     return both.join(xs, "a").join(ys, "b").select("a", "b", ((F.col("cab") - F.least("ca", "cb")) / F.greatest("ca", "cb")).alias("ncd"))
 
 
+def window_pressure(texts: DataFrame, column: str = "text", window: int = 32 * 1024) -> DataFrame:
+    """One row: sizes of texts in bytes, and whether two joined texts outgrow a compressor's window.
+
+    The middle size comes from a table of sizes, not from all texts in one task.
+    """
+    n = texts.select(F.octet_length(F.coalesce(F.col(column), F.lit(""))).cast("long").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+    n = n.withColumn("to", F.sum("n").over(W.orderBy("size"))).withColumn("r", F.row_number().over(W.orderBy(F.col("size").desc()))).crossJoin(F.broadcast(n.agg(F.sum("n").alias("all"))))
+    at = n.agg(F.min(F.when(F.col("to") > F.floor(F.col("all") / 2), F.col("size"))).alias("median"), F.max("size").alias("top"), F.max(F.when(F.col("r") == 1, F.col("n"))).alias("tops"), F.max(F.when(F.col("r") == 2, F.col("size"))).alias("next"))
+    at = at.select("median", (F.col("top") + F.when(F.col("tops") > 1, F.col("top")).otherwise(F.coalesce("next", F.lit(0)))).alias("pair"))
+    return at.select(F.col("median").alias("median_bytes"), F.col("pair").alias("largest_pair_bytes"), (2 * F.col("median")).alias("median_pair_bytes"), F.lit(window).cast("long").alias("window_bytes"), (F.col("pair") > window).alias("worst_case_exceeds_window"), (2 * F.col("median") > window).alias("median_case_exceeds_window"))
+
+
+def random_sense(train: DataFrame, test: DataFrame, seed: int = 41) -> DataFrame:
+    """(document, sent, place, predicted): one of the senses seen in training, by hash of the token's place; 1 for unseen words."""
+    seen = train.groupBy("lemma", "pos").agg(F.array_sort(F.collect_set("sense")).alias("senses"))
+    x = test.select("document", "sent", "place", "lemma", "pos").join(seen, ["lemma", "pos"], "left").withColumn("u", uniform(seed, "document", "sent", "place"))
+    return x.select("document", "sent", "place", F.coalesce(F.get("senses", F.floor(F.col("u") * F.size("senses")).cast("int")), F.lit(1)).alias("predicted"))
+
+
+def discourse_oracle(train: DataFrame, test: DataFrame) -> DataFrame:
+    """(document, sent, place, predicted): the modal true sense of a lemma's other tokens in the document, ties to the smallest; else the modal training sense, else 1.
+
+    It reads the truth of the other tokens: what one sense a discourse could reach, not a method.
+    """
+    n = test.groupBy("document", "lemma", "pos", "sense").agg(F.count("*").alias("n")).withColumnRenamed("sense", "s")
+    x = test.select("document", "sent", "place", "lemma", "pos", "sense").join(n, ["document", "lemma", "pos"]).withColumn("n", F.col("n") - (F.col("s") == F.col("sense")).cast("long"))
+    best = x.where("n > 0").groupBy("document", "sent", "place").agg(F.max_by("s", F.struct("n", -F.col("s"))).alias("best"))
+    got = test.select("document", "sent", "place", "lemma", "pos").join(best, ["document", "sent", "place"], "left").join(most_frequent_sense(train), ["lemma", "pos"], "left")
+    return got.select("document", "sent", "place", F.coalesce("best", "mfs", F.lit(1)).alias("predicted"))
+
+
 def most_frequent_sense(tagged: DataFrame) -> DataFrame:
     """(lemma, pos, mfs): the modal sense of training tokens, ties to the smallest."""
     n = tagged.groupBy("lemma", "pos", "sense").agg(F.count("*").alias("n"))

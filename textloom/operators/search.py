@@ -116,13 +116,9 @@ def _weights(post: DataFrame, stats: DataFrame, row: str, schemes: list[str], pi
     return got.select(row, "token", F.explode(F.array(*[scheme(s) for s in schemes])).alias("x")).select(row, "token", "x.scheme", "x.w")
 
 
-def smart_grid(docs: DataFrame, queries: DataFrame, doc_schemes: list[str], query_scheme: str = "ltc", qid: str = "item_id", column: str = "text") -> DataFrame:
-    """(scheme, qid, doc_id, score) of document schemes against one query scheme.
-
-    Only query terms can score, but norms take whole documents, so all postings are weighed; 45
-    schemes share one pass. Document frequencies always come from the documents.
-    """
-    for s in [*doc_schemes, query_scheme]:
+def _smart(docs: DataFrame, queries: DataFrame, doc_schemes: list[str], query_schemes: list[str], qid: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """Weights (doc_id, token, scheme, w) and (qid, token, scheme, w); documents' only for terms of queries."""
+    for s in [*doc_schemes, *query_schemes]:
         if len(s) != 3 or s[0] not in TFS or s[1] not in DFS or s[2] not in NORMS:
             raise ValueError(f"unknown weighting {s!r}")
     post = cut(postings(docs))
@@ -131,11 +127,28 @@ def smart_grid(docs: DataFrame, queries: DataFrame, doc_schemes: list[str], quer
     mean = post.agg((F.count("*") / docs.count()).alias("m")).first()["m"] or 1.0
     qpost = postings(queries, qid, column).join(stats.select("token"), "token", "left_semi")
     qmean = qpost.agg((F.count("*") / queries.count()).alias("m")).first()["m"] or 1.0
-    q = _weights(qpost, stats, qid, [query_scheme], F.lit(float(qmean))).select(F.col(qid).alias("qid"), "token", F.col("w").alias("qw"))
-    d = _weights(post, stats, "doc_id", doc_schemes, F.lit(float(mean)), q.select("token").distinct())
+    q = _weights(qpost, stats, qid, query_schemes, F.lit(float(qmean))).withColumnRenamed(qid, "qid")
+    return _weights(post, stats, "doc_id", doc_schemes, F.lit(float(mean)), q.select("token").distinct()), q
+
+
+def smart_grid(docs: DataFrame, queries: DataFrame, doc_schemes: list[str], query_scheme: str = "ltc", qid: str = "item_id", column: str = "text") -> DataFrame:
+    """(scheme, qid, doc_id, score) of document schemes against one query scheme.
+
+    Only query terms can score, but norms take whole documents, so all postings are weighed; 45
+    schemes share one pass. Document frequencies always come from the documents.
+    """
+    d, q = _smart(docs, queries, doc_schemes, [query_scheme], qid, column)
+    q = q.select("qid", "token", F.col("w").alias("qw"))
     return d.join(bounded(q), "token").groupBy("scheme", "qid", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score")).where("score > 0")
 
 
+def smart_query_grid(docs: DataFrame, queries: DataFrame, query_schemes: list[str], doc_scheme: str = "lnc", qid: str = "item_id", column: str = "text") -> DataFrame:
+    """(scheme, qid, doc_id, score) of query schemes against one document scheme."""
+    d, q = _smart(docs, queries, [doc_scheme], query_schemes, qid, column)
+    d = d.select("doc_id", "token", F.col("w").alias("dw"))
+    return d.join(bounded(q), "token").groupBy("scheme", "qid", "doc_id").agg(F.sum(F.col("w") * F.col("dw")).alias("score")).where("score > 0")
+
+
 def all_schemes() -> list[str]:
     return [a + b + c for a in TFS for b in DFS for c in NORMS]
 

@@ -35,7 +35,8 @@ def truncated(tok: DataFrame, n: int) -> DataFrame:
 
 
 def _rescaled(df: DataFrame) -> DataFrame:
-    top = df.agg(F.max(F.abs("polarity")).alias("top"))
+    """Divided by the largest magnitude; all zeros stay."""
+    top = df.agg(F.coalesce(F.nullif(F.max(F.abs("polarity")), F.lit(0.0)), F.lit(1.0)).alias("top"))
     return df.crossJoin(F.broadcast(top)).select("word", (F.col("polarity") / F.col("top")).alias("polarity"))
 
 
@@ -43,34 +44,43 @@ def _parts(line: Column) -> Column:
     return F.split(line, "\t")
 
 
-def lexicon_scored(lines: DataFrame, column: str = "value") -> DataFrame:
-    """word TAB score TAB ...; malformed rows are skipped; the last row of a word counts."""
-    p = lines.select(_parts(F.col(column)).alias("p")).where(F.size("p") >= 2)
-    got = p.select(F.lower(F.trim(F.get("p", F.lit(0)))).alias("word"), F.get("p", F.lit(1)).try_cast("double").alias("polarity")).where("polarity is not null and word != ''")
-    return _rescaled(got.groupBy("word").agg(F.last("polarity").alias("polarity")))
+def _last(rows: DataFrame) -> DataFrame:
+    return _rescaled(rows.where("polarity is not null and word != ''").groupBy("word").agg(F.max_by("polarity", "at").alias("polarity")))
+
+
+def _place(order: str | None) -> Column:
+    """What tells a later line from an earlier one: a column, or the place in the lines as they are read."""
+    return (F.monotonically_increasing_id() if order is None else F.col(order)).alias("at")
+
+
+def lexicon_scored(lines: DataFrame, column: str = "value", order: str | None = None) -> DataFrame:
+    """word TAB score TAB ...; malformed rows are skipped; the last row of a word, by ``order``, counts."""
+    p = lines.select(_parts(F.col(column)).alias("p"), _place(order)).where(F.size("p") >= 2)
+    return _last(p.select("at", F.lower(F.trim(F.get("p", F.lit(0)))).alias("word"), F.get("p", F.lit(1)).try_cast("double").alias("polarity")))
 
 
 def lexicon_lists(positive: DataFrame, negative: DataFrame, column: str = "value") -> DataFrame:
-    """Two lists of words, ``;`` beginning a comment."""
+    """Two lists of words, ``;`` beginning a comment; a word in both is negative."""
     words = lambda d, v: d.select(F.lower(F.trim(F.col(column))).alias("word")).where("word != '' and not startswith(word, ';')").select("word", F.lit(v).alias("polarity"))
     both = words(positive, 1.0).unionByName(words(negative, -1.0))
-    return both.groupBy("word").agg(F.sum("polarity").alias("polarity")).where("polarity != 0")
+    return both.groupBy("word").agg(F.min("polarity").alias("polarity"))
 
 
 def lexicon_senses(lines: DataFrame, column: str = "value", senses: int = 3) -> DataFrame:
-    """pos TAB id TAB positive TAB negative TAB terms#rank: mean of the first non-zero senses by rank."""
+    """pos TAB id TAB positive TAB negative TAB terms#rank: mean of the first non-zero senses by rank; underscores are blanks."""
     p = lines.where(~F.col(column).startswith("#")).select(_parts(F.col(column)).alias("p")).where(F.size("p") >= 5)
-    rows = p.select((F.get("p", F.lit(2)).try_cast("double") - F.get("p", F.lit(3)).try_cast("double")).alias("s"), F.explode(F.split(F.get("p", F.lit(4)), " ")).alias("t"))
-    rows = rows.select("s", F.lower(F.substring_index("t", "#", 1)).alias("word"), F.substring_index("t", "#", -1).try_cast("int").alias("rank")).where("s is not null and s != 0 and rank is not null")
+    rows = p.select((F.get("p", F.lit(2)).try_cast("double") - F.get("p", F.lit(3)).try_cast("double")).alias("s"), F.explode(F.split(F.get("p", F.lit(4)), r"\s+")).alias("t"))
+    term = lambda i: F.regexp_extract("t", r"^(.+)#([0-9]+)$", i)
+    rows = rows.select("s", F.lower(F.replace(term(1), F.lit("_"), F.lit(" "))).alias("word"), term(2).try_cast("int").alias("rank")).where("s is not null and s != 0 and rank is not null")
     w = W.partitionBy("word").orderBy("rank", "s")
     return _rescaled(rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= senses).groupBy("word").agg(F.avg("s").alias("polarity")))
 
 
-def lexicon_last_tab(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Phrases and whole-number scores parted by the last tab."""
+def lexicon_last_tab(lines: DataFrame, column: str = "value", order: str | None = None) -> DataFrame:
+    """Phrases and scores parted by the last tab; the last row of a phrase, by ``order``, counts."""
     v = F.col(column)
-    got = lines.where(F.instr(v, "\t") > 0).select(F.lower(F.regexp_extract(v, r"^(.*)\t[^\t]*$", 1)).alias("word"), F.substring_index(v, "\t", -1).try_cast("double").alias("polarity"))
-    return _rescaled(got.where("polarity is not null and word != ''").groupBy("word").agg(F.last("polarity").alias("polarity")))
+    got = lines.where(F.instr(v, "\t") > 0).select(_place(order), F.lower(F.trim(F.regexp_extract(v, r"^(.*)\t[^\t]*$", 1))).alias("word"), F.substring_index(v, "\t", -1).try_cast("double").alias("polarity"))
+    return _last(got)
 
 
 def sentence_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
