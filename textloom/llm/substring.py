@@ -29,10 +29,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, grams, join_groups, parts, rolling, ship, text_bytes, text_hash
+from .common import CHUNK_BYTES, Words, chunks, cut, grams, join_groups, parts, rolling, ship, text_bytes, text_hash
 
 
 def _window_min(g: np.ndarray, w: int) -> np.ndarray:
@@ -101,8 +102,8 @@ def _sent(docs: DataFrame, width: int, mer: int) -> DataFrame:
         for b in batches:
             ids, keys, texts = b.column("doc_id").to_numpy(), b.column("t").to_numpy(), text_bytes(b.column("text"))
             shared, hot = b.column("shared"), b.column("hot")
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for w, i, _, d, m, at, n in super_kmers(texts, width, mer):
+                out: tuple[list, ...] = ([], [], [], [], [], [], [])
                 raw = w.buf.tobytes()
                 done = -1
                 for k in range(len(d)):
@@ -117,8 +118,8 @@ def _sent(docs: DataFrame, width: int, mer: int) -> DataFrame:
                     words = b" ".join(raw[int(w.start[a]) : int(w.end[a + c + width - 2])].split())
                     for to, v in zip(out, (ids[i + int(done)], keys[i + int(done)], x, a - int(w.first[d[k]]), c, words, hashlib.blake2b(words, digest_size=16).digest() if x in burning else None), strict=True):
                         to.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "t", "m", "at", "n", "words", "k"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "t", "m", "at", "n", "words", "k"])
 
     return docs.mapInArrow(run, "doc_id long, t long, m long, at int, n int, words binary, k binary")
 
@@ -141,21 +142,30 @@ def _windows(contents: DataFrame, width: int) -> DataFrame:
 
 
 def _pieces(contents: DataFrame, width: int, piece: int) -> DataFrame:
-    """contents: k, lo, words. Cut into runs of ``piece`` windows: (k, lo, i, n, kp, words), kp a hash of the run's words."""
+    """contents: k, lo, words. Cut into runs of ``piece`` windows: (k, lo, i, n, kp, words), kp a hash of the run's words.
+
+    Runs overlap by a window less a word, so they are far larger than what they are cut from: they leave in batches of bounded size.
+    """
+    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    packed = lambda out: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["k", "lo", "i", "n", "kp", "words"])
 
     def run(batches):
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        held = 0
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for k, lo, words in zip(b.column("k").to_pylist(), b.column("lo").to_pylist(), b.column("words").to_pylist(), strict=True):
-                ws = words.split(b" ")
+            for k, lo, words in zip(b.column("k"), b.column("lo"), b.column("words"), strict=True):
+                k, lo, ws = k.as_py(), lo.as_py(), words.as_py().split(b" ")
                 n = len(ws) - width + 1
                 for i in range(0, n, piece):
                     c = min(piece, n - i)
                     part = b" ".join(ws[i : i + c + width - 1])
                     for to, v in zip(out, (k, lo, i, c, hashlib.blake2b(part, digest_size=16).digest(), part), strict=True):
                         to.append(v)
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["k", "lo", "i", "n", "kp", "words"])
+                    held += len(part)
+                    if held > 4 * CHUNK_BYTES:
+                        yield packed(out)
+                        out, held = ([], [], [], [], [], []), 0
+        yield packed(out)
 
     return contents.select("k", "lo", "words").mapInArrow(run, "k binary, lo long, i int, n int, kp binary, words binary")
 
@@ -252,16 +262,20 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     def run(batches):
         for b in batches:
             kept, n, gone = [], [], []
-            for t, s, hit in zip(text_bytes(b.column("text")), b.column("spans").to_pylist(), b.column("hit").to_pylist(), strict=True):
+            spans = b.column("spans")
+            edges = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))))
+            flat, some = spans.flatten(), spans.is_valid().to_numpy(zero_copy_only=False)
+            lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            for k, (t, hit) in enumerate(zip(text_bytes(b.column("text")), b.column("hit").to_pylist(), strict=True)):
                 words = t.split()
                 n.append(len(words))
-                if hit and s is None:
+                if hit and not some[k]:
                     words = []
                 elif hit:
-                    stay = np.ones(len(words), bool)
-                    for x in s:
-                        stay[x["a"] : x["b"]] = False
-                    words = [words[k] for k in np.flatnonzero(stay)]
+                    steps = np.zeros(n[-1] + 1, np.int64)
+                    np.add.at(steps, lo[edges[k] : edges[k + 1]], 1)
+                    np.add.at(steps, hi[edges[k] : edges[k + 1]], -1)
+                    words = [words[j] for j in np.flatnonzero(np.cumsum(steps[:-1]) == 0)]
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
