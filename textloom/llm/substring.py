@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, chunks, cut, grams, join_groups, parts, rolling, ship, text_bytes, text_hash
+from .common import CHUNK_BYTES, Words, chunks, cut, grams, join_groups, parts, rolling, ship, text_bytes, text_hash, written
 
 
 def _window_min(g: np.ndarray, w: int) -> np.ndarray:
@@ -224,7 +224,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, mer: int = 8, hot: int = 64
     """docs: doc_id, t, text. One row for each (doc_id, t) that loses words: (doc_id, t, spans: array of (a, b)), null spans for all words."""
     spark = docs.sparkSession
     ship(spark)
-    marks = cut(_marks(docs.where("doc_id is not null"), width, mer))
+    marks = written(_marks(docs.where("doc_id is not null"), width, mer))
     some = marks.where(F.size("mins") > 0)
     firsts = cut(some.groupBy("digest").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("c")).where("c > 1"))
     named = join_groups(some, firsts, ["digest"], "c").withColumn("lowest", F.coalesce("lowest", "doc_id"))
@@ -233,17 +233,17 @@ def repeated_spans(docs: DataFrame, width: int = 50, mer: int = 8, hot: int = 64
     shared = own.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("n")).where("lo < hi").select("m", ((F.col("c") > hot) | (F.col("n") > hot_windows)).alias("burns"))
     lists = own.join(shared, "m").groupBy("doc_id", "t").agg(F.collect_list("m").alias("shared"), F.collect_list(F.when(F.col("burns"), F.col("m"))).alias("hot"))
     texts = docs.select("doc_id", "t", "text").join(lists, ["doc_id", "t"])
-    sent = cut(_sent(texts, width, mer))
+    sent = written(_sent(texts, width, mer))
     cold = sent.where("k is null").select("doc_id", "t", "m", "at", "words").repartition(parts(docs), "m").sortWithinPartitions("m")
     spans = _counted(cold, width)
     # hot ones: each distinct string once, each distinct run of its windows once, then back to where the string occurs
     burning = sent.where("k is not null").select("doc_id", "t", "at", "n", "k", "words")
-    contents = cut(burning.groupBy("k").agg(F.min("doc_id").alias("lo"), F.min("words").alias("words")))
-    cuts = cut(_pieces(contents, width, piece))
-    parts_ = cut(cuts.groupBy("kp").agg(F.min("lo").alias("least"), F.min("words").alias("words")))
+    contents = written(burning.groupBy("k").agg(F.min("doc_id").alias("lo"), F.min("words").alias("words")))
+    cuts = written(_pieces(contents, width, piece))
+    parts_ = written(cuts.groupBy("kp").agg(F.min("lo").alias("least"), F.min("words").alias("words")))
     known = cuts.select("k", "lo", "i", "n", "kp").join(parts_.select("kp", "least"), "kp")
     earlier = known.where("least < lo").select("k", "i", "n")
-    windows = cut(_windows(parts_.select(F.col("kp").alias("k"), F.col("least").alias("lo"), "words"), width))
+    windows = written(_windows(parts_.select(F.col("kp").alias("k"), F.col("least").alias("lo"), "words"), width))
     lowest = windows.groupBy("w1", "w2").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("w1", "w2", "least")
     late = windows.join(lowest, ["w1", "w2"]).where("least < lo").select(F.col("k").alias("kp"), F.col("i").alias("j"))
     some = earlier.unionByName(known.where("least = lo").select("k", "i", "kp").join(late, "kp").select("k", (F.col("i") + F.col("j")).alias("i"), F.lit(1).alias("n")))
