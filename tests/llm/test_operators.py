@@ -367,6 +367,31 @@ def test_hnsw_finds_planted_clusters(spark):
     assert (got["component_id"].to_numpy() == roots).mean() > 0.999
 
 
+def test_hnsw_asks_few_cells(spark):
+    """Each node asks some of the cells, however many there are; units of a cell in parts give the same links and components as all pairs."""
+    rng = np.random.default_rng(17)
+    x = rng.standard_normal((8_000, 48))
+    at = 0
+    for size in [2] * 300 + [30] * 20 + [700]:
+        x[at : at + size] = x[at] + 0.15 * rng.standard_normal((size, 48))
+        at += size
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    n = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want, forest = np.zeros(len(x), int), hnsw.Forest()
+    for k in range(len(x)):
+        hits = np.flatnonzero(n @ n[k] >= 0.9)
+        want[k] = len(hits) - 1
+        forest.join(k, hits.tolist())
+    d = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    for unit_rows in (32_768, 150):
+        report: dict = {}
+        got = hnsw.near_vectors(d, cell_rows=80, unit_rows=unit_rows, report=report).toPandas().set_index("vec_id").loc[np.arange(len(x))]
+        assert 1 <= report["probes"] <= 16 < 60 < report["cells"] and report["recall"] >= 0.999
+        found = got["n_links"].to_numpy()
+        assert (found <= want).all() and found.sum() >= 0.999 * want.sum()
+        assert (got["component_id"].to_numpy() == [forest.root(k) for k in range(len(x))]).mean() > 0.999
+
+
 def test_html():
     page = '<html><head><title>t</title><script>var x="</p>";</script></head><body><nav><a href=x>menu</a></nav><div class="cookie-notice">We use cookies</div><article><h1>Head &amp; more</h1><p>A  <b>b</b><p>c\n d</article><div id=comments><p>nice</p></div><footer>f</footer></body></html>'
     assert html.main_text(page) == "Head & more\nA b\nc d"
