@@ -567,6 +567,35 @@ def test_toxicity_probabilities_by_hand(spark):
     assert (model.weights[:-1] >= 0).all()
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """Every word of every labelled row counts, also where a class has more than 4,000 rows in a fold."""
+    rows = [(i, f"common w{i % 50} own{i}" + (" vile" if i % 3 else "")) for i in range(27_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learnt = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert min(sum(zlib.crc32(str(i).encode()) % 3 == r and bool(i % 3) == y for i, _ in rows) for r in (0, 2) for y in (True, False)) > 2_500
+    assert max(sum(zlib.crc32(str(i).encode()) % 3 == r and i % 3 != 0 for i, _ in rows) for r in (0, 2)) > 4_000
+    model = toxicity.learn(docs, spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert set(model.index) == {b"", b"common", b"vile", *(f"w{k}".encode() for k in range(50)), *(f"own{i}".encode() for i in learnt)}
+
+
+def test_toxicity_triples():
+    rnd = random.Random(6)
+    lens = [rnd.randrange(12) for _ in range(60)]
+    texts = [[rnd.randrange(1, 6) for _ in range(n)] for n in lens]
+    bits = [1 << rnd.randrange(4) for _ in lens]
+    want: dict = {}
+    for ws, bit in zip(texts, bits, strict=True):
+        pairs, singles = set(), set()
+        for u, v, w in zip([0, 0, *ws], [0, *ws], ws, strict=False):
+            if (v, w) not in pairs:
+                want[v, w, u] = want.get((v, w, u), 0) | bit | (0 if w in singles else bit << 4)
+                pairs.add((v, w))
+                singles.add(w)
+    p, u, marks = toxicity.triples(np.array([w for ws in texts for w in ws]), np.array(lens), np.array(bits))
+    assert {(int(a) >> 32, int(a) & 0xFFFFFFFF, int(b)): int(m) for a, b, m in zip(p, u, marks, strict=True)} == want and len(p) == len(want)
+    assert len(toxicity.triples(np.zeros(0, np.int64), np.zeros(3, int), np.ones(3, int))[0]) == 0
+
+
 def test_best_windows():
     rnd = np.random.default_rng(2)
     lens = rnd.integers(1, 31, 200)

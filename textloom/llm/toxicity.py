@@ -15,10 +15,12 @@ The score is calibrated from length-normalised differences of the two log-likeli
 the whole text, and of the best two of its windows of 1, 4 and 16 words, since a long text
 is toxic if a small part of it is. No weight of the logistic calibration is negative.
 
-What is learnt: from at most ``max_rows`` labelled rows of each class and fold, chosen by a
-hash of their id. A row is labelled toxic if any of its labels says so. Rows whose crc32 of
-the id mod 3 is 1 are never learnt from; remainders 0 and 2 are the two folds. Counts come
-from both; the calibration sees each fold's rows as models of the other fold judge them.
+What is learnt: from all labelled rows, counts and calibration alike. A row is labelled toxic if
+any of its labels says so. Rows whose crc32 of the id mod 3 is 1 are never learnt from;
+remainders 0 and 2 are the two folds. Counts come from both; the calibration sees each
+fold's rows as models of the other fold judge them. The model is on the driver and in every task: all
+words of these rows, and the pairs that have a probability of their own (two contexts or more,
+after a word with enough pairs); it grows as their vocabulary does.
 Scoring covers every row and whole texts, however long.
 
 Defined results: null and empty texts score as texts without words; null ids are held out
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, ship, text_bytes, written
+from .common import chunks, cut, ship, small, text_bytes, written
 
 #: Bytes that end a word here: ASCII white space and these punctuation marks.
 _PUNCTUATION = b".,!?;:\"()[]{}"
@@ -44,6 +46,8 @@ _TABLE = bytes(32 if i in b" \t\n\x0b\x0c\r" + _PUNCTUATION else i + 32 if 65 <=
 WIDTHS = (1, 4, 16)
 FEATURES = 1 + len(WIDTHS)
 SIDES = ("0", "2", "all")  # what a model is learnt from: a fold or both
+#: Labelled rows up to which the join with the texts is by broadcast.
+FEW_LABELS = 2_000_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -162,33 +166,63 @@ def kneser_ney(index: dict[bytes, int], singles: np.ndarray, contexts: np.ndarra
     keys = before.astype(np.int64) * (n + 1) + after
     order = np.argsort(keys)
     upper = np.where(used[before], np.maximum(counts - 1.0, 0) / np.maximum(total[:, before], 1), 0.0)
+    order = order[(upper[:, order] > 0).any(0)]
     return Model(index, np.stack(single), np.c_[leave, np.ones(3)], keys[order], upper[:, order].astype(np.float32), np.zeros(0), np.zeros(0), np.ones(0))
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
-    """rows: y, r, text. (u, v, w, b, f) of each batch: words in a row, each pair v w once a document, b the bit of class and fold, f the same bit if w was new there."""
+def _vocabulary(rows: DataFrame) -> dict[bytes, int]:
+    """A number for each word of ``rows`` (column text), those of many batches first; 0 is what stands before a text."""
 
     def run(batches):
         for b in batches:
-            seen: dict[tuple[bytes, bytes, bytes], list[int]] = {}
-            for y, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2)), strict=True):
-                bit = 1 << (2 * (1 - y) + (r == 2))
-                ws = words(t)
-                pairs, singles = set(), set()
-                for u, v, w in zip([b"", b"", *ws], [b"", *ws], ws, strict=False):
-                    if (v, w) in pairs:
-                        continue
-                    pairs.add((v, w))
-                    got = seen.setdefault((u, v, w), [0, 0])
-                    got[0] |= bit
-                    if w not in singles:
-                        singles.add(w)
-                        got[1] |= bit
-            cols = list(zip(*seen, strict=True)) or [(), (), ()]
-            bits = list(zip(*seen.values(), strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in cols), *(pa.array(x, pa.int32()) for x in bits)], names=["u", "v", "w", "b", "f"])
-
-    return rows.mapInArrow(run, "u binary, v binary, w binary, b int, f int")
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in text_bytes(b.column(0)) for w in words(t)}), pa.binary())], names=["w"])
+
+    found = rows.select("text").mapInArrow(run, "w binary").groupBy("w").agg(F.count("*").alias("n"))
+    got = [(n, w) for b in _rows(found) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    got.sort(key=lambda x: (-x[0], x[1]))
+    return {b"": 0} | {w: k for k, (_, w) in enumerate(got, 1)}
+
+
+def triples(ids: np.ndarray, lens: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts as word numbers one after another: (v << 32 | w, u, marks) of words u v w in a row, each pair v w once a text.
+
+    marks: the texts' bits or-ed, and 16 times those of the texts where w was new there.
+    """
+    lens, bits = lens[lens > 0], bits[lens > 0]
+    if not len(lens):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.cumsum(lens) - lens
+    doc = np.repeat(np.arange(len(lens)), lens)
+    v = np.r_[0, ids[:-1]]
+    v[starts] = 0
+    u = np.r_[0, v[:-1]]
+    u[starts] = 0
+    kinds, kind = np.unique(v << 32 | ids, return_inverse=True)
+    _, at = np.unique(doc * len(kinds) + kind, return_index=True)
+    fresh = np.zeros(len(ids), bool)
+    many = int(ids.max()) + 1
+    fresh[np.unique(doc * many + ids, return_index=True)[1]] = True
+    keys, place = np.unique(kind[at] * many + u[at], return_inverse=True)
+    marks = np.zeros(len(keys), np.int64)
+    np.bitwise_or.at(marks, place, bits[doc[at]] * np.where(fresh[at], 17, 1))
+    return kinds[keys // many], keys % many, marks
+
+
+def _contexts(rows: DataFrame, index) -> DataFrame:
+    """rows: y, r, text; index: broadcast numbers of words. (p, x) of each batch: the ``triples``, x being u << 8 | marks."""
+
+    def run(batches):
+        get = index.value.__getitem__
+        for batch in batches:
+            texts = text_bytes(batch.column(2))
+            bits = 1 << (2 * (1 - batch.column(0).to_numpy().astype(np.int64)) + (batch.column(1).to_numpy() == 2))
+            for i, j in chunks(texts):
+                lists = [words(t) for t in texts[i:j]]
+                lens = np.fromiter(map(len, lists), np.int64, j - i)
+                p, u, marks = triples(np.fromiter((get(x) for ws in lists for x in ws), np.int64, lens.sum()), lens, bits[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(u << 8 | marks)], names=["p", "x"])
+
+    return rows.select("y", "r", "text").mapInArrow(run, "p long, x long")
 
 
 def _cells(bits: Column) -> list[tuple[str, Column]]:
@@ -213,30 +247,40 @@ def _rows(df: DataFrame):
 
 
 class _Counts:
-    """Continuation counts of the learnt rows (4 * max_rows texts at most) as arrays on the driver."""
+    """Continuation counts of the learnt rows as arrays on the driver, of pairs only those that any model uses."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, least_context: int):
+        sc = rows.sparkSession.sparkContext
+        self.least_context = least_context
+        self.index = _vocabulary(rows)
+        sent = sc.broadcast(self.index)  # the vocabulary
         # dealt by pair once, for both aggregates
-        triples = _contexts(rows).repartition("v", "w").groupBy("u", "v", "w").agg(F.bit_or("b").alias("b"), F.bit_or("f").alias("f"))
-        pairs = written(triples.groupBy("v", "w").agg(F.bit_or("f").alias("f"), *[F.sum(x).cast("int").alias(c) for c, x in _cells(F.col("b"))]))
+        each = _contexts(rows, sent).repartition("p").groupBy("p", F.shiftright("x", 8).alias("u")).agg(F.bit_or(F.col("x").bitwiseAND(F.lit(255))).alias("m"))
+        each = each.select("p", F.col("m").bitwiseAND(F.lit(15)).alias("b"), F.shiftright("m", 4).alias("f"))
+        pairs = each.groupBy("p").agg(F.bit_or("f").cast("int").alias("f"), *[F.sum(x).cast("int").alias(c) for c, x in _cells(F.col("b"))])
         names = [c for c, _ in _cells(F.lit(0))]
-        self.index: dict[bytes, int] = {b"": 0}
+        pairs = written(pairs.select(F.shiftright("p", 32).cast("int").alias("v"), F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("w"), "f", *names))
+        sent.unpersist()
         singles = pairs.groupBy("w").agg(*[F.sum(x).cast("int").alias(c) for c, x in _cells(F.col("f"))])
         self.singles = self._table(singles, "w", names)
         contexts = pairs.groupBy("v").agg(*[F.sum(c).cast("int").alias(c) for c in names], *[F.count_if(F.col(c) > 0).cast("int").alias(f"k_{c}") for c in names])
         self.contexts = self._table(contexts, "v", [*names, *(f"k_{c}" for c in names)])
-        parts = [(self._numbers(b, "v"), self._numbers(b, "w"), np.stack([b.column(c).to_numpy() for c in names])) for b in _rows(pairs.where("s_all > 1").select("v", "w", *names))]
-        self.before, self.after = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in (0, 1))
-        self.pairs = dict(zip(names, np.concatenate([np.zeros((len(names), 0), np.int32), *(p[2] for p in parts)], axis=1), strict=True))
+        enough = {f"{c}_{side}": self._full(self.contexts, f"{c}_{side}") >= least_context for c in "to" for side in SIDES}
+        used = sc.broadcast(np.any([enough[f"t_{side}"] & enough[f"o_{side}"] for side in SIDES], axis=0))
 
-    def _numbers(self, batch: pa.RecordBatch, column: str) -> np.ndarray:
-        d = batch.column(column).dictionary_encode()
-        known = np.array([self.index.setdefault(w, len(self.index)) for w in d.dictionary.to_pylist()], np.int64)
-        return known[d.indices.to_numpy()]
+        def own(batches):
+            for b in batches:
+                yield b.filter(pa.array(used.value[b.column(0).to_numpy()]))
+
+        some = pairs.where("s_all > 1").select("v", "w", *names)
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), np.stack([b.column(c).to_numpy() for c in names])) for b in _rows(some.mapInArrow(own, some.schema))]
+        used.unpersist()
+        self.before, self.after = (np.concatenate([np.zeros(0, np.int32), *(p[k] for p in parts)]) for k in (0, 1))
+        self.pairs = dict(zip(names, np.concatenate([np.zeros((len(names), 0), np.int32), *(p[2] for p in parts)], axis=1), strict=True))
 
     def _table(self, df: DataFrame, key: str, names: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        parts = [(self._numbers(b, key), [b.column(c).to_numpy() for c in names]) for b in _rows(df.select(key, *names))]
-        at = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])
+        parts = [(b.column(0).to_numpy(), [b.column(c).to_numpy() for c in names]) for b in _rows(df.select(key, *names))]
+        at = np.concatenate([np.zeros(0, np.int32), *(p[0] for p in parts)])
         return at, {c: np.concatenate([np.zeros(0, np.int32), *(p[1][k] for p in parts)]) for k, c in enumerate(names)}
 
     def _full(self, table: tuple[np.ndarray, dict[str, np.ndarray]], name: str) -> np.ndarray:
@@ -244,59 +288,75 @@ class _Counts:
         out[table[0]] = table[1][name]
         return out
 
-    def model(self, side: str, least_context: int) -> Model | None:
+    def model(self, side: str) -> Model | None:
         """The model of a side's counts; None if it lacks a class."""
         singles = np.stack([self._full(self.singles, f"{c}_{side}") for c in "tos"])
         if not singles[0].any() or not singles[1].any():
             return None
         contexts = np.stack([self._full(self.contexts, f"{k}{c}_{side}") for k in ("", "k_") for c in "tos"])
-        return kneser_ney(self.index, singles, contexts, self.before, self.after, np.stack([self.pairs[f"{c}_{side}"] for c in "tos"]), least_context)
+        return kneser_ney(self.index, singles, contexts, self.before, self.after, np.stack([self.pairs[f"{c}_{side}"] for c in "tos"]), self.least_context)
+
+
+def _sums(rows: DataFrame, of) -> np.ndarray:
+    """The sum over all batches of ``rows`` (y, then features) of the array that ``of`` makes of features and y."""
+
+    def run(batches):
+        total = None
+        for b in batches:
+            x = np.stack([c.to_numpy() for c in b.columns[1:]], 1)
+            got = of(x, b.column(0).to_numpy().astype(np.float64))
+            total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    return np.sum([x["s"] for x in rows.mapInArrow(run, "s array<double>").collect()], axis=0)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights (intercept last), centre and scale, by Newton steps; features whose weight would be negative get none."""
-    centre, scale = x.mean(0), x.std(0) + 1e-9
-    on = list(range(x.shape[1]))
+def logistic(rows: DataFrame, ridge: float = 0.05, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights (intercept last), centre and scale, from ``rows`` (y, then features) by Newton steps, each a sum over all rows; features whose weight would be negative get none."""
+    first = _sums(rows, lambda x, y: np.r_[len(x), x.sum(0)])
+    n, centre = first[0], first[1:] / first[0]
+    scale = np.sqrt(_sums(rows, lambda x, y: ((x - centre) ** 2).sum(0)) / n) + 1e-9
+    on = list(range(len(centre)))
     while True:
-        z = np.c_[((x - centre) / scale)[:, on], np.ones(len(x))]
         w = np.zeros(len(on) + 1)
         penalty = np.r_[np.full(len(on), ridge), 1e-6]
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            g = z.T @ (p - y) + penalty * w
-            h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty)
-            step = np.linalg.solve(h, g)
-            w -= step
+
+            def slopes(x, y, w=w, on=tuple(on)):
+                z = np.c_[((x - centre) / scale)[:, on], np.ones(len(x))]
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                return np.r_[z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()]
+
+            got = _sums(rows, slopes)
+            g = got[: len(w)] + penalty * w
+            step = np.linalg.solve(got[len(w) :].reshape(len(w), -1) + np.diag(penalty), g)
+            w = w - step
             if np.abs(step).max() < 1e-8:
                 break
         if (w[:-1] >= 0).all():
-            full = np.zeros(x.shape[1] + 1)
+            full = np.zeros(len(centre) + 1)
             full[[*on, -1]] = w
             return full, centre, scale
         on = [k for k, v in zip(on, w[:-1], strict=True) if v >= 0]
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 4000, least_context: int = 20) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", least_context: int = 20) -> Model:
     """A model from ``docs`` joined with ``labels``; see the module's text for what it may see."""
     ship(docs.sparkSession)
     marked = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
-    marked = cut(marked.withColumn("r", remainder("id")).where("r != 1 and y in (0, 1)"))
+    marked = cut(marked.withColumn("r", remainder("id").cast("int")).where("r != 1 and y in (0, 1)"))
     n = {(x["y"], x["r"]): x["n"] for x in marked.groupBy("y", "r").agg(F.count("*").alias("n")).collect()}
     nothing = Model({}, np.ones((2, 1)), np.ones((3, 1)), np.zeros(0, np.int64), np.zeros((3, 0)), np.zeros(0), np.zeros(0), np.ones(0))
     if not all(n.get((y, r)) for y in (0, 1) for r in (0, 2)):
         return nothing
-    picks = None
-    for r in (0, 2):
-        for y in (0, 1):
-            some = marked.where(f"r = {r} and y = {y}").orderBy(F.xxhash64("id"), "id").limit(max_rows)
-            picks = some if picks is None else picks.unionByName(some)
-    # at most 4 * max_rows ids
-    rows = cut(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picks), "id").select("y", F.col("r").cast("int").alias("r"), "text"))
-    counts = _Counts(rows)
-    folds = {0: counts.model("2", least_context), 2: counts.model("0", least_context)}  # each fold is judged by the other
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(remainder("id") != 1)
+    rows = written(own.join(small(marked, FEW_LABELS), "id").select("y", "r", "text"))
+    counts = _Counts(rows, least_context)
+    folds = {0: counts.model("2"), 2: counts.model("0")}  # each fold is judged by the other
     if not all(folds.values()):
         return nothing
-    sent = docs.sparkSession.sparkContext.broadcast(folds)  # bounded by max_rows
+    sent = docs.sparkSession.sparkContext.broadcast(folds)  # the models
     del folds
     names = [f"f{k}" for k in range(FEATURES)]
 
@@ -310,18 +370,18 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 f[own] = m[r].features([texts[k] for k in own])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(FEATURES))], names=["y", *names])
 
-    got = np.array([list(x) for x in rows.mapInArrow(run, ", ".join(["y int", *(f"{k} double" for k in names)])).collect()], np.float64)
+    judged = written(rows.mapInArrow(run, ", ".join(["y int", *(f"{k} double" for k in names)])))
     sent.unpersist()
-    model = counts.model("all", least_context)
-    if len(got) and len(set(got[:, 0])) == 2:
-        model.weights, model.centre, model.scale = logistic(got[:, 1:], got[:, 0])
+    model = counts.model("all")
+    if judged.agg(F.count_distinct("y")).first()[0] == 2:
+        model.weights, model.centre, model.scale = logistic(judged)
     return model
 
 
 def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_rows
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
