@@ -68,12 +68,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """As ``cut``, as a table in the checkpoint folder: columns of small numbers take a fraction of the space there."""
     spark = df.sparkSession
     durable(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.parquet(path)
 
 

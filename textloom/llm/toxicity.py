@@ -19,8 +19,9 @@ What is learnt: from all labelled rows, counts and calibration alike. A row is l
 any of its labels says so. Rows whose crc32 of the id mod 3 is 1 are never learnt from;
 remainders 0 and 2 are the two folds. Counts come from both; the calibration sees each
 fold's rows as models of the other fold judge them. The model is on the driver and in every task: all
-words of these rows, and the pairs that have a probability of their own (two contexts or more,
-after a word with enough pairs); it grows as their vocabulary does.
+words of these rows, told by 64-bit hashes (about 30 bytes each), and the pairs that have a
+probability of their own (two contexts or more, after a word with enough pairs); it grows as
+their vocabulary does.
 Scoring covers every row and whole texts, however long.
 
 Defined results: null and empty texts score as texts without words; null ids are held out
@@ -38,20 +39,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, ship, small, text_bytes, written
+from .common import Words, chunks, cut, ship, small, text_bytes, written
 
 #: Bytes that end a word here: ASCII white space and these punctuation marks.
 _PUNCTUATION = b".,!?;:\"()[]{}"
 _TABLE = bytes(32 if i in b" \t\n\x0b\x0c\r" + _PUNCTUATION else i + 32 if 65 <= i <= 90 else i for i in range(256))
 WIDTHS = (1, 4, 16)
 FEATURES = 1 + len(WIDTHS)
-SIDES = ("0", "2", "all")  # what a model is learnt from: a fold or both
+#: Marks of what a model is learnt from, a fold or both, and of toxic, ordinary, shared.
+FOLDS = {"0": 0b0101, "2": 0b1010, "all": 0b1111}
+CLASSES = {"t": 0b0011, "o": 0b1100, "s": 0b1111}
 #: Labelled rows up to which the join with the texts is by broadcast.
 FEW_LABELS = 2_000_000
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.translate(_TABLE).split()
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the texts' words one after another, and how many each text has."""
+    w = Words([t.translate(_TABLE) for t in texts], lower=False)
+    return w.hashes(), np.diff(w.first)
 
 
 def remainder(doc_id: str) -> Column:
@@ -83,13 +88,36 @@ def best_windows(x: np.ndarray, lens: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+class Index:
+    """Numbers of words, from 1; 0 is what stands before a text, ``len`` any other word."""
+
+    def __init__(self, hashes: np.ndarray, number: np.ndarray):
+        self.hashes, self.number = hashes, number  # sorted; int32
+
+    def __len__(self) -> int:
+        return len(self.hashes) + 1
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), 1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.number[at], len(self)).astype(np.int64)
+
+    def __getitem__(self, word: bytes) -> int:
+        got = int(self.numbers(word_hashes([word])[0])[0]) if word else 0
+        if got == len(self):
+            raise KeyError(word)
+        return got
+
+
 @dataclass
 class Model:
     """The chain as arrays over word numbers (the last place is that of unseen words), and the calibration."""
 
-    index: dict[bytes, int]  # b"" is what stands before a text
+    index: Index
     single: np.ndarray  # 2 x (words + 1): class probabilities of single words, toxic and ordinary
-    leave: np.ndarray  # 3 x (words + 1): what the pairs after a word leave to the next order: toxic, ordinary, shared
+    slot: np.ndarray  # words + 1: a word's place in ``leave``, the last for all that have none of their own
+    leave: np.ndarray  # 3 x places: what the pairs after a word leave to the next order: toxic, ordinary, shared
     pairs: np.ndarray  # sorted: number of the word before * (words + 1) + number of the word
     upper: np.ndarray  # 3 x pairs: discounted conditional probabilities, in the same order
     weights: np.ndarray
@@ -103,24 +131,23 @@ class Model:
             keys = before * (len(self.index) + 1) + w
             at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
             top = np.where(self.pairs[at] == keys, self.upper[:, at], 0.0)
-        shared = top[2] + self.leave[2, before] * self.single[:, w]
-        return top[:2] + self.leave[:2, before] * shared
+        leave = self.leave[:, self.slot[before]]
+        shared = top[2] + leave[2] * self.single[:, w]
+        return top[:2] + leave[:2] * shared
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         """A row for each text."""
         out = np.zeros((len(texts), FEATURES))
-        n, get = len(self.index), self.index.get
         for i, j in chunks(texts):
-            lists = [words(t) for t in texts[i:j]]
-            lens = np.fromiter(map(len, lists), np.int64, j - i)
+            hashes, lens = word_hashes(texts[i:j])
             some = np.flatnonzero(lens)
             if not len(some):
                 continue
             lens = lens[some]
             starts = np.cumsum(lens) - lens
-            w = np.fromiter((get(x, n) for ws in lists for x in ws), np.int64, lens.sum())
+            w = self.index.numbers(hashes)
             before = np.r_[0, w[:-1]]
-            before[starts] = get(b"", n)
+            before[starts] = 0
             p = self.probabilities(before, w)
             x = np.log(p[0] / p[1])
             out[i + some] = np.stack([np.add.reduceat(x, starts) / lens, *(best_windows(x, lens, k) for k in WIDTHS)], 1)
@@ -142,12 +169,13 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.minimum(counts, np.clip(d, low, high)[np.clip(counts.astype(int), 1, 3) - 1])
 
 
-def kneser_ney(index: dict[bytes, int], singles: np.ndarray, contexts: np.ndarray, before: np.ndarray, after: np.ndarray, counts: np.ndarray, least_context: int = 20) -> Model:
+def kneser_ney(index: Index, singles: np.ndarray, places: np.ndarray, contexts: np.ndarray, before: np.ndarray, after: np.ndarray, counts: np.ndarray, least_context: int = 20) -> Model:
     """A model without calibration, from continuation counts in the order toxic, ordinary, shared.
 
-    singles: 3 x words. contexts: 6 x words, for the pairs after a word the sum of their counts
-    and how many there are, for each of the three. before, after: word numbers of the pairs with
-    a shared count of two or more, the others being discounted whole; counts: 3 x pairs.
+    singles: 3 x words. places: the words that may have enough pairs after them; contexts: 6 x
+    these, for the pairs after a word the sum of their counts and how many there are, for each
+    of the three. before, after: word numbers of the pairs with
+    a shared count of two or more after words of ``places``, the others being discounted whole; counts: 3 x pairs.
     """
     n = len(index)
     pool = singles[2].astype(float)
@@ -165,22 +193,31 @@ def kneser_ney(index: dict[bytes, int], singles: np.ndarray, contexts: np.ndarra
     leave = np.where(used, kinds / np.maximum(total, 1), 1.0)
     keys = before.astype(np.int64) * (n + 1) + after
     order = np.argsort(keys)
-    upper = np.where(used[before], np.maximum(counts - 1.0, 0) / np.maximum(total[:, before], 1), 0.0)
+    slot = np.full(n + 1, len(places), np.int32)
+    slot[places] = np.arange(len(places))
+    at = slot[before]
+    upper = np.where(used[at], np.maximum(counts - 1.0, 0) / np.maximum(total[:, at], 1), 0.0)
     order = order[(upper[:, order] > 0).any(0)]
-    return Model(index, np.stack(single), np.c_[leave, np.ones(3)], keys[order], upper[:, order].astype(np.float32), np.zeros(0), np.zeros(0), np.ones(0))
+    return Model(index, np.stack(single), slot, np.c_[leave, np.ones(3)], keys[order], upper[:, order].astype(np.float32), np.zeros(0), np.zeros(0), np.ones(0))
 
 
-def _vocabulary(rows: DataFrame) -> dict[bytes, int]:
-    """A number for each word of ``rows`` (column text), those of many batches first; 0 is what stands before a text."""
+def _vocabulary(rows: DataFrame) -> Index:
+    """The words of ``rows`` (column text), those of many batches first."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in text_bytes(b.column(0)) for w in words(t)}), pa.binary())], names=["w"])
+            texts = text_bytes(b.column(0))
+            found = [np.unique(word_hashes(texts[i:j])[0]) for i, j in chunks(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64))], names=["h"])
 
-    found = rows.select("text").mapInArrow(run, "w binary").groupBy("w").agg(F.count("*").alias("n"))
-    got = [(n, w) for b in _rows(found) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-    got.sort(key=lambda x: (-x[0], x[1]))
-    return {b"": 0} | {w: k for k, (_, w) in enumerate(got, 1)}
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in _rows(rows.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").cast("int").alias("n")))]
+    h = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in got)]).view(np.uint64)
+    n = np.concatenate([np.zeros(0, np.int32), *(x[1] for x in got)])
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    number = np.empty(len(h), np.int32)
+    number[np.argsort(-n, kind="stable")] = np.arange(1, len(h) + 1)
+    return Index(h, number)
 
 
 def triples(ids: np.ndarray, lens: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,14 +249,12 @@ def _contexts(rows: DataFrame, index) -> DataFrame:
     """rows: y, r, text; index: broadcast numbers of words. (p, x) of each batch: the ``triples``, x being u << 8 | marks."""
 
     def run(batches):
-        get = index.value.__getitem__
         for batch in batches:
             texts = text_bytes(batch.column(2))
             bits = 1 << (2 * (1 - batch.column(0).to_numpy().astype(np.int64)) + (batch.column(1).to_numpy() == 2))
             for i, j in chunks(texts):
-                lists = [words(t) for t in texts[i:j]]
-                lens = np.fromiter(map(len, lists), np.int64, j - i)
-                p, u, marks = triples(np.fromiter((get(x) for ws in lists for x in ws), np.int64, lens.sum()), lens, bits[i:j])
+                hashes, lens = word_hashes(texts[i:j])
+                p, u, marks = triples(index.value.numbers(hashes), lens, bits[i:j])
                 yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(u << 8 | marks)], names=["p", "x"])
 
     return rows.select("y", "r", "text").mapInArrow(run, "p long, x long")
@@ -227,9 +262,7 @@ def _contexts(rows: DataFrame, index) -> DataFrame:
 
 def _cells(bits: Column) -> list[tuple[str, Column]]:
     """For each side and each of toxic, ordinary, shared whether one of its bits is set."""
-    folds = {"0": 0b0101, "2": 0b1010, "all": 0b1111}
-    classes = {"t": 0b0011, "o": 0b1100, "s": 0b1111}
-    return [(f"{c}_{s}", (bits.bitwiseAND(F.lit(m & k)) != 0).cast("int")) for s, m in folds.items() for c, k in classes.items()]
+    return [(f"{c}_{s}", (bits.bitwiseAND(F.lit(m & k)) != 0).cast("int")) for s, m in FOLDS.items() for c, k in CLASSES.items()]
 
 
 def _rows(df: DataFrame):
@@ -259,42 +292,45 @@ class _Counts:
         each = each.select("p", F.col("m").bitwiseAND(F.lit(15)).alias("b"), F.shiftright("m", 4).alias("f"))
         pairs = each.groupBy("p").agg(F.bit_or("f").cast("int").alias("f"), *[F.sum(x).cast("int").alias(c) for c, x in _cells(F.col("b"))])
         names = [c for c, _ in _cells(F.lit(0))]
-        pairs = written(pairs.select(F.shiftright("p", 32).cast("int").alias("v"), F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("w"), "f", *names))
+        pairs = written(pairs.select(F.shiftright("p", 32).cast("int").alias("v"), F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("w"), "f", *names), "zstd")
         sent.unpersist()
-        singles = pairs.groupBy("w").agg(*[F.sum(x).cast("int").alias(c) for c, x in _cells(F.col("f"))])
-        self.singles = self._table(singles, "w", names)
-        contexts = pairs.groupBy("v").agg(*[F.sum(c).cast("int").alias(c) for c in names], *[F.count_if(F.col(c) > 0).cast("int").alias(f"k_{c}") for c in names])
-        self.contexts = self._table(contexts, "v", [*names, *(f"k_{c}" for c in names)])
-        enough = {f"{c}_{side}": self._full(self.contexts, f"{c}_{side}") >= least_context for c in "to" for side in SIDES}
-        used = sc.broadcast(np.any([enough[f"t_{side}"] & enough[f"o_{side}"] for side in SIDES], axis=0))
+        # singles as a histogram of marks
+        self.singles = self._table(pairs.groupBy("w", "f").agg(F.count("*").cast("int").alias("n")), ["w", "f", "n"])
+        enough = pairs.groupBy("v").agg(F.sum("t_all").alias("t"), F.sum("o_all").alias("o")).where(F.least("t", "o") >= least_context)
+        self.places = np.sort(self._table(enough, ["v"])["v"])
+        chosen = np.zeros(len(self.index), bool)
+        chosen[self.places] = True
+        used = sc.broadcast(chosen)
 
         def own(batches):
             for b in batches:
                 yield b.filter(pa.array(used.value[b.column(0).to_numpy()]))
 
-        some = pairs.where("s_all > 1").select("v", "w", *names)
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), np.stack([b.column(c).to_numpy() for c in names])) for b in _rows(some.mapInArrow(own, some.schema))]
+        some = pairs.select("v", "w", *names)
+        some = some.mapInArrow(own, some.schema)
+        sums = some.groupBy("v").agg(*[F.sum(c).cast("int").alias(c) for c in names], *[F.count_if(F.col(c) > 0).cast("int").alias(f"k_{c}") for c in names])
+        got = self._table(sums, ["v", *names, *(f"k_{c}" for c in names)])
+        order = np.argsort(got["v"])
+        self.contexts = {c: x[order] for c, x in got.items()}
+        self.pairs = self._table(some.where("s_all > 1"), ["v", "w", *names])
         used.unpersist()
-        self.before, self.after = (np.concatenate([np.zeros(0, np.int32), *(p[k] for p in parts)]) for k in (0, 1))
-        self.pairs = dict(zip(names, np.concatenate([np.zeros((len(names), 0), np.int32), *(p[2] for p in parts)], axis=1), strict=True))
 
-    def _table(self, df: DataFrame, key: str, names: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        parts = [(b.column(0).to_numpy(), [b.column(c).to_numpy() for c in names]) for b in _rows(df.select(key, *names))]
-        at = np.concatenate([np.zeros(0, np.int32), *(p[0] for p in parts)])
-        return at, {c: np.concatenate([np.zeros(0, np.int32), *(p[1][k] for p in parts)]) for k, c in enumerate(names)}
+    def _table(self, df: DataFrame, names: list[str]) -> dict[str, np.ndarray]:
+        parts = [[b.column(c).to_numpy() for c in names] for b in _rows(df.select(*names))]
+        return {c: np.concatenate([np.zeros(0, np.int32), *(p[k] for p in parts)]) for k, c in enumerate(names)}
 
-    def _full(self, table: tuple[np.ndarray, dict[str, np.ndarray]], name: str) -> np.ndarray:
-        out = np.zeros(len(self.index), np.int32)
-        out[table[0]] = table[1][name]
-        return out
+    def _single(self, marks: int) -> np.ndarray:
+        """For each word the contexts with any of these marks."""
+        some = (self.singles["f"] & marks) != 0
+        return np.bincount(self.singles["w"][some], self.singles["n"][some], len(self.index)).astype(np.int32)
 
     def model(self, side: str) -> Model | None:
         """The model of a side's counts; None if it lacks a class."""
-        singles = np.stack([self._full(self.singles, f"{c}_{side}") for c in "tos"])
+        singles = np.stack([self._single(FOLDS[side] & CLASSES[c]) for c in "tos"])
         if not singles[0].any() or not singles[1].any():
             return None
-        contexts = np.stack([self._full(self.contexts, f"{k}{c}_{side}") for k in ("", "k_") for c in "tos"])
-        return kneser_ney(self.index, singles, contexts, self.before, self.after, np.stack([self.pairs[f"{c}_{side}"] for c in "tos"]), self.least_context)
+        contexts = np.stack([self.contexts[f"{k}{c}_{side}"] for k in ("", "k_") for c in "tos"])
+        return kneser_ney(self.index, singles, self.places, contexts, self.pairs["v"], self.pairs["w"], np.stack([self.pairs[f"{c}_{side}"] for c in "tos"]), self.least_context)
 
 
 def _sums(rows: DataFrame, of) -> np.ndarray:
@@ -347,11 +383,11 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     marked = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     marked = cut(marked.withColumn("r", remainder("id").cast("int")).where("r != 1 and y in (0, 1)"))
     n = {(x["y"], x["r"]): x["n"] for x in marked.groupBy("y", "r").agg(F.count("*").alias("n")).collect()}
-    nothing = Model({}, np.ones((2, 1)), np.ones((3, 1)), np.zeros(0, np.int64), np.zeros((3, 0)), np.zeros(0), np.zeros(0), np.ones(0))
+    nothing = Model(Index(np.zeros(0, np.uint64), np.zeros(0, np.int32)), np.ones((2, 2)), np.zeros(2, np.int32), np.ones((3, 1)), np.zeros(0, np.int64), np.zeros((3, 0)), np.zeros(0), np.zeros(0), np.ones(0))
     if not all(n.get((y, r)) for y in (0, 1) for r in (0, 2)):
         return nothing
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(remainder("id") != 1)
-    rows = written(own.join(small(marked, FEW_LABELS), "id").select("y", "r", "text"))
+    rows = written(own.join(small(marked, FEW_LABELS), "id").select("y", "r", "text"), "zstd")
     counts = _Counts(rows, least_context)
     folds = {0: counts.model("2"), 2: counts.model("0")}  # each fold is judged by the other
     if not all(folds.values()):
