@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
-from ..plans.tables import bounded, listed
+from ..plans.tables import bounded, listed, spread
 
 
 def containing(docs: DataFrame, passages: DataFrame, qid: str = "item_id") -> DataFrame:
@@ -69,6 +69,39 @@ def paired_bootstrap(diffs: DataFrame, resamples: int = 2000, seed: int = 5) ->
     return got.crossJoin(mean).select("mean", "lo", "hi", F.least(F.lit(1.0), 2 * F.least("below", "above")).alias("p"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("significant"))
 
 
+def poisson_sums(per: DataFrame, key: str, columns: list[str], resamples: int, seed: int) -> DataFrame:
+    """(b from 1, columns...): sums of the columns over resamples that weigh each key by a Poisson count (of mean 1, from a hash of 32 bits), so that rows need no numbering.
+
+    A task adds up its rows' weights times their values; no row is made for a key and a resample.
+    """
+    import math
+
+    below = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
+
+    def run(batches):
+        from hashlib import md5
+
+        import numpy as np
+        import pyarrow as pa
+
+        heads = [f"{seed}:{b}:".encode() for b in range(1, resamples + 1)]
+        total, rows = np.zeros((resamples, len(columns))), 0
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            x = np.column_stack([batch.column(1 + i).to_numpy(zero_copy_only=False).astype("f8") for i in range(len(columns))])
+            for a in range(0, len(keys), 256):
+                drawn = b"".join([md5(h + k).digest()[:4] for k in (k.encode() for k in keys[a : a + 256]) for h in heads])
+                u = np.frombuffer(drawn, ">u4").astype("f8").reshape(-1, resamples) / 4294967296.0
+                total += np.searchsorted(below, u, side="right").T @ x[a : a + 256]
+            rows += len(keys)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(range(1, resamples + 1), pa.int32()), *[pa.array(total[:, i]) for i in range(len(columns))]], names=["b", *columns])
+
+    rows = spread(per.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), *columns), "k")
+    sums = rows.mapInArrow(run, ", ".join(["b int", *(f"`{c}` double" for c in columns)]))
+    return sums.groupBy("b").agg(*[F.sum(c).alias(c) for c in columns])
+
+
 def majority(labels: DataFrame, label: str) -> DataFrame:
     """(label, accuracy) of always answering the most frequent label (ties: the smallest)."""
     n = labels.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
