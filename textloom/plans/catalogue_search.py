@@ -40,12 +40,12 @@ def _topk(ranked):
 
 @query("bm25_topk", f"WITH {BM25} SELECT qid AS item_id, rank, doc_id, round(score, 6) AS score FROM bmr WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    return _topk(search.ranked(search.bm25(*_tables(spark, sf)), 10))
+    return _topk(search.ranked(search.bm25_best(*_tables(spark, sf), 10), 10))
 
 
 @query("tfidf_topk", f"WITH {TFIDF} SELECT qid AS item_id, rank, doc_id, round(score, 6) AS score FROM tir WHERE rank <= 10")
 def tfidf_topk(spark, sf):
-    return _topk(search.ranked(search.tfidf(*_tables(spark, sf)), 10))
+    return _topk(search.ranked(search.tfidf_best(*_tables(spark, sf), 10), 10))
 
 
 @query("bm25_terms", f"WITH {POST} SELECT token, count(*) AS df, round(greatest(0, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1)), 6) AS idf FROM post, n_all GROUP BY token")
@@ -75,14 +75,14 @@ def _recall_sql(rank, ks=(1, 5, 10, 20)):
 @query("recall_mrr", f"WITH {BM25}, {GOLD}, {_recall_sql('bmr')}")
 def recall_mrr(spark, sf):
     docs, items = _tables(spark, sf)
-    got = metrics.recall_mrr(search.ranked(search.bm25(docs, items), 100), _gold(docs, items), [1, 5, 10, 20])
+    got = metrics.recall_mrr(search.ranked(search.bm25_best(docs, items, 100), 100), _gold(docs, items), [1, 5, 10, 20])
     return got.select("k", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), "n_queries")
 
 
 @query("recall_mrr_tfidf", f"WITH {TFIDF}, {GOLD}, {_recall_sql('tir')}")
 def recall_mrr_tfidf(spark, sf):
     docs, items = _tables(spark, sf)
-    got = metrics.recall_mrr(search.ranked(search.tfidf(docs, items), 100), _gold(docs, items), [1, 5, 10, 20])
+    got = metrics.recall_mrr(search.ranked(search.tfidf_best(docs, items, 100), 100), _gold(docs, items), [1, 5, 10, 20])
     return got.select("k", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), "n_queries")
 
 
@@ -119,7 +119,7 @@ rec AS (SELECT s.scheme, avg(coalesce(h / n_gold, 0)) AS recall FROM (SELECT DIS
 
 def _grid(spark, sf, schemes):
     docs, items = _tables(spark, sf)
-    scores = search.smart_grid(docs, items, schemes).withColumn("both", F.concat_ws("/", "scheme", "qid"))
+    scores = search.smart_best(docs, items, 10, schemes, ["ltc"]).withColumn("both", F.concat_ws("/", "scheme", "qid"))
     ranked = search.ranked(scores, 10, by="both").drop("both")
     return metrics.recall_mrr(ranked, _gold(docs, items), [10], by=["scheme"]).select("scheme", "recall")
 
@@ -148,7 +148,7 @@ ex AS (SELECT qid, token, sum(weight) AS weight FROM (SELECT qid, token, 0.5 * q
 @query("rm3_expansion", f"WITH {RM3} SELECT qid AS item_id, token AS term, round(weight, 6) AS weight FROM rmt")
 def rm3_expansion(spark, sf):
     docs, items = _tables(spark, sf)
-    return search.relevance_model(docs, search.bm25(docs, items)).select(F.col("qid").alias("item_id"), F.col("token").alias("term"), F.round("weight", 6).alias("weight"))
+    return search.relevance_model(docs, search.bm25_best(docs, items, 10)).select(F.col("qid").alias("item_id"), F.col("token").alias("term"), F.round("weight", 6).alias("weight"))
 
 
 @query("rm3_topk", f"""WITH {RM3}, p2 AS (SELECT p.doc_id, p.token, greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m)) AS part
@@ -156,8 +156,8 @@ def rm3_expansion(spark, sf):
 r2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) SELECT qid AS item_id, rank, doc_id, round(score, 6) AS score FROM r2 WHERE rank <= 10""")
 def rm3_topk(spark, sf):
     docs, items = _tables(spark, sf)
-    model = search.relevance_model(docs, search.bm25(docs, items))
-    return _topk(search.ranked(search.weighted(docs, search.expanded(items, model)), 10))
+    model = search.relevance_model(docs, search.bm25_best(docs, items, 10))
+    return _topk(search.ranked(search.weighted_best(docs, search.expanded(items, model), 10), 10))
 
 
 DEPTHS = (0, 10, 20, 50, 100)
@@ -176,10 +176,10 @@ def rerank_depth_sweep(spark, sf):
     from .tables import bounded, lengths, postings
 
     docs, items = _tables(spark, sf)
-    first = search.ranked(search.bm25(docs, items), 100).select("qid", "doc_id", "rank")
+    first = search.ranked(search.bm25_best(docs, items, 100), 100).select("qid", "doc_id", "rank")
     q = postings(items, "item_id").select(F.col("item_id").alias("qid"), "token")
-    own = postings(docs.join(bounded(first.select("doc_id").distinct()), "doc_id", "left_semi"))
-    scores = own.join(bounded(q), "token").groupBy("qid", "doc_id").agg(F.count("*").alias("n")).join(lengths(docs), "doc_id").select("qid", "doc_id", (F.col("n") / F.col("len")).alias("rerank_score"))
+    used = cut(docs.join(bounded(first.select("doc_id").distinct()), "doc_id", "left_semi"))
+    scores = postings(used).join(bounded(q), "token").groupBy("qid", "doc_id").agg(F.count("*").alias("n")).join(lengths(used), "doc_id").select("qid", "doc_id", (F.col("n") / F.col("len")).alias("rerank_score"))
     gold = _gold(docs, items)
     total = gold.groupBy("qid").agg(F.count("*").alias("n_gold"))
     hits = search.rerank(first, scores, list(DEPTHS)).join(gold, ["qid", "doc_id"], "left_semi").groupBy("depth", "qid").agg(F.count_if(F.col("rank") <= 10).alias("a"), F.count_if(F.col("rank") <= F.col("depth")).alias("c"))
@@ -202,7 +202,7 @@ SELECT round((SELECT avg(d) FROM d), 6) AS mean, round(lo, 6) AS lo, round(hi, 6
 def paired_bootstrap(spark, sf):
     docs, items = _tables(spark, sf)
     gold = _gold(docs, items)
-    a = metrics.per_query_recall(search.ranked(search.bm25(docs, items), 10), gold, 10).withColumnRenamed("recall", "x")
-    b = metrics.per_query_recall(search.ranked(search.tfidf(docs, items), 10), gold, 10).withColumnRenamed("recall", "y")
+    a = metrics.per_query_recall(search.ranked(search.bm25_best(docs, items, 10), 10), gold, 10).withColumnRenamed("recall", "x")
+    b = metrics.per_query_recall(search.ranked(search.tfidf_best(docs, items, 10), 10), gold, 10).withColumnRenamed("recall", "y")
     got = metrics.paired_bootstrap(a.join(b, "qid").select("qid", (F.col("x") - F.col("y")).alias("d")))
     return got.select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "p")], "significant")
